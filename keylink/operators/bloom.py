@@ -1,0 +1,106 @@
+"""Approximate membership with Bloom filters kept as rows.
+
+Every key column gets one filter; all filters have the same number of blocks,
+so a tested value looks at one block and sees all filters at once.  A block is
+eight 64-bit words and a value sets one bit in each word of its block (Bloom,
+CACM 1970; blocked filters after Putze, Sanders and Singler, WEA 2007).  Only
+blocks that hold a bit are stored.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Error rate and head room over the number of keys.
+ERROR_RATE = 0.001
+CAPACITY_FACTOR = 1.2
+
+WORDS = 8
+WORD_BITS = 64
+# Blocks fill unevenly, which a plain filter of the same size does not suffer from.
+BLOCK_MARGIN = 1.25
+_BLOCK_SEED, _BIT_SEED = 17, 29
+
+
+def block_count(keys: int, error_rate: float = ERROR_RATE) -> int:
+    """Blocks needed for ``keys`` distinct keys at the given error rate."""
+    capacity = max(1, int(keys * CAPACITY_FACTOR))
+    bits = BLOCK_MARGIN * capacity * -math.log(error_rate) / math.log(2) ** 2
+    return max(1, math.ceil(bits / (WORDS * WORD_BITS)))
+
+
+def _block(v: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(_BLOCK_SEED), v), F.lit(blocks).cast("bigint"))
+
+
+def _masks(v: Column) -> list[Column]:
+    bits = F.xxhash64(F.lit(_BIT_SEED), v)
+    one = F.lit(1).cast("bigint")
+    low_six = F.lit(WORD_BITS - 1)
+    return [
+        F.call_function(
+            "shiftleft", one, F.shiftright(bits, 6 * i).bitwiseAND(low_six).cast("int")
+        )
+        for i in range(WORDS)
+    ]
+
+
+def build_filters(keys: DataFrame, blocks: int) -> DataFrame:
+    """``block, pk, w0..w7`` from ``v, cid``; bits meet map-side first."""
+    bits = keys.select(
+        F.col("cid").alias("pk"),
+        _block(F.col("v"), blocks).alias("block"),
+        *[mask.alias(f"w{i}") for i, mask in enumerate(_masks(F.col("v")))],
+    )
+    return bits.groupBy("block", "pk").agg(
+        *[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]
+    )
+
+
+def probe_filters(tested: DataFrame, filters: DataFrame, blocks: int) -> DataFrame:
+    """``fk, _keys, cnt``: for every tested value the keys that may hold it."""
+    words = [f"w{i}" for i in range(WORDS)]
+    # At most one entry per key column in a block.
+    by_block = filters.groupBy("block").agg(
+        F.collect_list(F.struct("pk", *words)).alias("_filters")
+    )
+    marked = tested.select(
+        F.col("cid").alias("fk"),
+        "cnt",
+        _block(F.col("v"), blocks).alias("block"),
+        *[mask.alias(f"m{i}") for i, mask in enumerate(_masks(F.col("v")))],
+    )
+
+    def may_hold(entry: Column) -> Column:
+        test = F.lit(True)
+        for i in range(WORDS):
+            mask = F.col(f"m{i}")
+            test = test & (entry[f"w{i}"].bitwiseAND(mask) == mask)
+        return test
+
+    hit = F.transform(F.filter("_filters", may_hold), lambda entry: entry["pk"])
+    return (
+        marked.join(by_block, "block")
+        .select("fk", "cnt", F.sort_array(hit).alias("_keys"))
+        .filter(F.size("_keys") > 0)
+    )
+
+
+def bloom_key_sets(
+    fk_counts: DataFrame,
+    fks: Sequence[int],
+    pk_counts: DataFrame,
+    pks: Sequence[int],
+    largest_key: int,
+    error_rate: float = ERROR_RATE,
+) -> DataFrame:
+    """Input of ``hits_of_key_sets``: no true hit is lost, a few may be added."""
+    blocks = block_count(largest_key, error_rate)
+    keys = pk_counts.filter(F.col("cid").isin(list(pks)) & F.col("v").isNotNull())
+    tested = fk_counts.filter(F.col("cid").isin(list(fks)) & F.col("v").isNotNull())
+    filters = build_filters(keys.select("v", "cid"), blocks)
+    return probe_filters(tested.select("v", "cid", "cnt"), filters, blocks)
