@@ -3,15 +3,15 @@
 Two cells hold the same value when their canonical text is equal, whatever the
 declared types: ``INT 5``, ``BIGINT 5``, ``DECIMAL 5.00`` and ``'5'`` are one
 value.  Counting does not need the text, though.  Values are grouped in their
-native type first (``native_value``) and only the distinct ones are rendered
-(``text_of_native``), so a column with a billion rows and ten values pays for
-ten casts.
+native type first (``native_value``) and only the distinct ones are rendered,
+so a column with a billion rows and ten values pays for ten casts.
+
+The builders return SQL text: catalogs with thousands of columns then cost one
+parsed projection per table instead of many calls per column.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Texts longer than this are grouped and joined by a digest of the whole text.
@@ -48,48 +48,45 @@ def declared_name(dtype: T.DataType) -> str:
     return dtype.simpleString().split("(")[0].split("<")[0].upper()
 
 
-def shuffle_key(text: Column) -> Column:
-    """Bounded stand-in for a text of any length; equal iff the texts are."""
-    return F.when(
-        F.octet_length(text) > MAX_KEY_BYTES,
-        F.concat(F.lit(DIGEST_PREFIX), F.sha2(text, 256)),
-    ).otherwise(text)
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def plain_text(column: Column, dtype: T.DataType) -> Column:
+def plain_text(name: str, dtype: T.DataType) -> str:
     """Canonical text of a text-family column, unshortened."""
-    text = column.cast("string")
+    text = f"CAST({quoted(name)} AS STRING)"
     if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
         # Dropping the zeros in text keeps all digits of wide decimals.
-        text = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        text = rf"regexp_replace(regexp_replace({text}, r'(\.\d*?)0+$', '$1'), r'\.$', '')"
     return text
 
 
-def native_value(column: Column, dtype: T.DataType) -> Column:
+def native_value(name: str, dtype: T.DataType) -> str:
     """The form in which values of a family are grouped."""
     kind = family(dtype)
     if kind == INTEGRAL:
-        return column.cast("bigint")
+        return f"CAST({quoted(name)} AS BIGINT)"
     if kind == FLOATING:
         # Adding zero folds -0.0 into 0.0.
-        return column.cast("double") + F.lit(0.0)
+        return f"CAST({quoted(name)} AS DOUBLE) + 0.0D"
     if kind == TEXT:
-        text = plain_text(column, dtype)
-        return shuffle_key(text) if is_text(dtype) else text
-    return column
-
-
-def text_of_native(native: Column) -> Column:
-    return native.cast("string")
+        text = plain_text(name, dtype)
+        if not is_text(dtype):
+            return text
+        return (
+            f"CASE WHEN octet_length({text}) > {MAX_KEY_BYTES} "
+            f"THEN concat('{DIGEST_PREFIX}', sha2({text}, 256)) ELSE {text} END"
+        )
+    return quoted(name)
 
 
-def key_of(column: Column, dtype: T.DataType) -> Column:
-    """Row-level join key: what ``native_value`` and rendering give together."""
-    return text_of_native(native_value(column, dtype))
+def join_key(name: str, dtype: T.DataType) -> str:
+    """Row-level join key; equal for two cells iff they hold the same value."""
+    return f"CAST({native_value(name, dtype)} AS STRING)"
 
 
-def canonical_text(column: Column, dtype: T.DataType) -> Column:
+def canonical_text(name: str, dtype: T.DataType) -> str:
     """Row-level canonical text, whole."""
     if family(dtype) == TEXT:
-        return plain_text(column, dtype)
-    return text_of_native(native_value(column, dtype))
+        return plain_text(name, dtype)
+    return join_key(name, dtype)

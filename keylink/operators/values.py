@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keylink.functions.canonical import (
@@ -15,7 +15,7 @@ from keylink.functions.canonical import (
     is_text,
     native_value,
     plain_text,
-    text_of_native,
+    quoted,
 )
 from keylink.functions.frames import md5_of, union_all
 from keylink.sources.catalog import ColumnInfo, Source
@@ -26,10 +26,6 @@ def key_columns(source: Source) -> list[ColumnInfo]:
     return [c for c in source.columns() if family(c.dtype) is not None]
 
 
-def column_ref(item: ColumnInfo) -> Column:
-    return F.col(f"`{item.name}`")
-
-
 def _scans(columns: Sequence[ColumnInfo]) -> dict[tuple[str, str], list[ColumnInfo]]:
     """Columns grouped by (family, table): each group is one pruned scan."""
     scans: dict[tuple[str, str], list[ColumnInfo]] = {}
@@ -40,12 +36,9 @@ def _scans(columns: Sequence[ColumnInfo]) -> dict[tuple[str, str], list[ColumnIn
 
 def _unpivot(frame: DataFrame, items: Sequence[ColumnInfo], parts, names) -> DataFrame:
     """(cid, parts...) of several columns by one Generate, without a shuffle."""
-    if len(items) == 1:
-        only = items[0]
-        values = [part.alias(name) for part, name in zip(parts(only), names, strict=True)]
-        return frame.select(F.lit(only.cid).alias("cid"), *values)
-    cells = [cell for item in items for cell in (F.lit(item.cid), *parts(item))]
-    return frame.select(F.stack(F.lit(len(items)), *cells).alias("cid", *names))
+    labels = ", ".join(("cid", *names))
+    cells = ", ".join(f"{c.cid}, {', '.join(parts(c))}" for c in items)
+    return frame.selectExpr(f"stack({len(items)}, {cells}) AS ({labels})")
 
 
 def value_counts(
@@ -62,20 +55,9 @@ def value_counts(
     for (kind, table), items in _scans(columns).items():
         frame = source.tables[table]
         if kind == TEXT and text_stats:
-            long = _unpivot(
-                frame,
-                items,
-                lambda c: (
-                    native_value(column_ref(c), c.dtype),
-                    F.char_length(plain_text(column_ref(c), c.dtype)),
-                    F.octet_length(plain_text(column_ref(c), c.dtype)),
-                ),
-                ("x", "chars", "octets"),
-            )
+            long = _unpivot(frame, items, _value_and_lengths, ("x", "chars", "octets"))
         else:
-            long = _unpivot(
-                frame, items, lambda c: (native_value(column_ref(c), c.dtype),), ("x",)
-            )
+            long = _unpivot(frame, items, lambda c: (native_value(c.name, c.dtype),), ("x",))
         grouped.setdefault(kind, []).append(long)
     counted = []
     for kind, parts in grouped.items():
@@ -83,16 +65,20 @@ def value_counts(
         if text_stats and kind == TEXT:
             aggregates += [F.max("chars").alias("chars"), F.max("octets").alias("octets")]
         counts = union_all(parts).groupBy("cid", "x").agg(*aggregates)
-        text = text_of_native(F.col("x"))
-        out = [F.col("cid"), text.alias("v"), F.col("cnt")]
-        if text_stats:
-            chars = F.col("chars") if kind == TEXT else F.char_length(text)
-            is_ascii = F.col("chars") == F.col("octets") if kind == TEXT else text.isNotNull()
-            out += [chars.alias("chars"), F.coalesce(is_ascii, F.lit(False)).alias("ascii")]
-        counted.append(counts.select(*out))
+        out = ["cid", "CAST(x AS STRING) AS v", "cnt"]
+        if text_stats and kind == TEXT:
+            out += ["chars", "coalesce(chars = octets, false) AS ascii"]
+        elif text_stats:
+            out += ["char_length(CAST(x AS STRING)) AS chars", "x IS NOT NULL AS ascii"]
+        counted.append(counts.selectExpr(*out))
     return union_all(counted)
 
 
+def _value_and_lengths(c: ColumnInfo) -> tuple[str, str, str]:
+    text = plain_text(c.name, c.dtype)
+    return native_value(c.name, c.dtype), f"char_length({text})", f"octet_length({text})"
+
+
 def values_long(source: Source, columns: Sequence[ColumnInfo]) -> DataFrame:
     """``cid, v`` with one row per cell; ``v`` is the whole canonical text."""
     by_table: dict[str, list[ColumnInfo]] = {}
@@ -103,7 +89,7 @@ def values_long(source: Source, columns: Sequence[ColumnInfo]) -> DataFrame:
             _unpivot(
                 source.tables[table],
                 items,
-                lambda c: (canonical_text(column_ref(c), c.dtype),),
+                lambda c: (canonical_text(c.name, c.dtype),),
                 ("v",),
             )
             for table, items in by_table.items()
@@ -136,7 +122,7 @@ def column_sample(
     may leave too few rows below that cut; then the whole table is ranked.
     """
     names = list(keys or sample_key_columns(frame) or frame.columns)
-    ranked = frame.withColumn("_h", md5_of([F.col(f"`{n}`") for n in names]))
+    ranked = frame.withColumn("_h", md5_of([F.col(quoted(n)) for n in names]))
     if total is None or total <= 4 * rows:
         return ranked.orderBy("_h").limit(rows).drop("_h")
     cut = f"{min(2**32 - 1, int(2**32 * (rows + 6 * rows**0.5 + 50) / total)):08x}"

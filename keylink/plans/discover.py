@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keylink.functions.canonical import family, key_of
+from keylink.functions.canonical import family, join_key, quoted
 from keylink.functions.frames import metadata_frame, union_all
 from keylink.operators.bloom import bloom_key_sets
 from keylink.operators.candidates import candidate_pairs, classify
@@ -31,7 +31,7 @@ from keylink.operators.inclusion import (
     with_miss_ratio,
 )
 from keylink.operators.profile import column_profile
-from keylink.operators.values import column_ref, column_sample, value_counts
+from keylink.operators.values import column_sample, value_counts
 from keylink.params import FIXED_RATIO_BASE, Params
 from keylink.sources.catalog import ColumnInfo, Source, table_row_counts
 from keylink.sources.workspace import Workspace
@@ -192,8 +192,8 @@ class _Run:
 
         def look(table: str) -> None:
             items = by_table[table]
-            keys = [key_of(column_ref(c), c.dtype).alias(str(c.cid)) for c in items]
-            rows = self.source.tables[table].select(*keys).take(PEEK_ROWS)
+            keys = [f"{join_key(c.name, c.dtype)} AS c{c.cid}" for c in items]
+            rows = self.source.tables[table].selectExpr(*keys).take(PEEK_ROWS)
             for position, c in enumerate(items):
                 self.peeks[c.cid] = _peek_at([row[position] for row in rows], most)
 
@@ -283,7 +283,7 @@ class _Run:
         sampled = {}
         for table in {c.table for c in refs}:
             frame = self.source.tables[table].select(
-                *[column_ref(c) for c in self.eligible if c.table == table]
+                *[quoted(c.name) for c in self.eligible if c.table == table]
             )
             sampled[table] = column_sample(
                 frame,

@@ -7,13 +7,14 @@ per table or column, so they are metadata-sized whatever the tables hold.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keylink.functions.canonical import declared_name, family, is_text
+from keylink.functions.canonical import declared_name, family, is_text, quoted
 from keylink.functions.frames import metadata_frame, union_all
 
 TABLES_SCHEMA = T.StructType(
@@ -149,14 +150,16 @@ def attach_comments(columns: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def table_row_counts(source: Source) -> DataFrame:
-    """``table_name, row_count``; reads no column of any table."""
-    return union_all(
-        [
-            frame.agg(F.count(F.lit(1)).alias("row_count")).select(
-                F.lit(name).alias("table_name"), "row_count"
-            )
-            for name, frame in source.tables.items()
-        ]
+    """``table_name, row_count`` in one job; reads no column of any table."""
+    spark = next(iter(source.tables.values())).sparkSession
+    names = list(source.tables)
+    known = metadata_frame(spark, enumerate(names), "tid int, table_name string")
+    ones = union_all(
+        [frame.selectExpr(f"{tid} AS tid") for tid, frame in enumerate(source.tables.values())]
+    )
+    counted = ones.groupBy("tid").agg(F.count(F.lit(1)).alias("row_count"))
+    return known.join(counted, "tid", "left").select(
+        "table_name", F.coalesce("row_count", F.lit(0)).alias("row_count")
     )
 
 
@@ -167,16 +170,15 @@ def column_counts(source: Source, columns: Sequence[ColumnInfo] | None = None) -
         by_table.setdefault(item.table, []).append(item)
     counts = []
     for table, items in by_table.items():
-        totals = source.tables[table].agg(
-            F.count(F.lit(1)).alias("row_count"),
-            *[F.count(F.col(f"`{c.name}`")).alias(f"n{c.cid}") for c in items],
+        totals = source.tables[table].selectExpr(
+            "count(1) AS row_count",
+            *[f"count({quoted(c.name)}) AS n{c.cid}" for c in items],
         )
-        pairs = [part for c in items for part in (F.lit(c.cid), F.col(f"n{c.cid}"))]
+        cells = ", ".join(f"{c.cid}, n{c.cid}" for c in items)
         counts.append(
-            totals.select("row_count", F.stack(F.lit(len(items)), *pairs).alias("cid", "non_null"))
-            .select("cid", "row_count", "non_null")
+            totals.selectExpr("row_count", f"stack({len(items)}, {cells}) AS (cid, non_null)")
         )
-    return union_all(counts)
+    return union_all(counts).select("cid", "row_count", "non_null")
 
 
 def files_source(
@@ -191,8 +193,14 @@ def files_source(
     """Tables stored as ``<path>/<name>.<fmt>`` (a file or a directory each)."""
     if names is None:
         names = list_file_tables(spark, path, fmt)
-    reader = spark.read.format(fmt).options(**(options or {}))
-    tables = {name: reader.load(f"{path}/{name}.{fmt}") for name in names}
+
+    def load(name: str) -> DataFrame:
+        reader = spark.read.format(fmt).options(**(options or {}))
+        return reader.load(f"{path}/{name}.{fmt}")
+
+    # Reading a schema is a small job of its own, so several run at a time.
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        tables = dict(zip(names, pool.map(load, names), strict=True))
     return Source(db=db, tables=tables, **metadata)
 
 
