@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from keylink.functions.frames import metadata_frame
 from keylink.params import Params, resolve_params
 from keylink.plans.lifecycle import run_model
-from keylink.sources.catalog import files_source
+from keylink.sources.catalog import files_source, list_file_tables
 from keylink.sources.jdbc import Connection, database_source, policies
 from keylink.sources.store import ResultStore
 
@@ -49,6 +49,8 @@ def main(arguments: list[str] | None = None) -> None:
     params = configured_params(spark, args)
     names = list(params.tables) or None
     if args.source_type == "files":
+        listed = list_file_tables(spark, args.path, args.format)
+        names = [name for name in listed if not names or name in names]
         source = files_source(spark, args.path, names, args.format, db=args.db or "files")
     else:
         connection = Connection(

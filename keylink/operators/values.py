@@ -116,17 +116,25 @@ def column_sample(
 ) -> DataFrame:
     """The ``rows`` rows with the lowest md5 over ``keys``; the same on every run.
 
-    With ``total`` (the row count of ``frame``) rows far above the expected cut
-    are filtered in the scan, so the final top-n sees little more than ``rows``
-    rows in all, rather than ``rows`` from each task.  Copies share one hash and
-    may leave too few rows below that cut; then the whole table is ranked.
+    Rows with equal keys are ordered by their other columns.  With ``total``
+    (the row count of ``frame``) rows far above the expected cut are filtered
+    in the scan, so the final top-n sees little more than ``rows`` rows in all,
+    rather than ``rows`` from each task.  Copies share one hash and may leave
+    too few rows below that cut; then the whole table is ranked.
     """
     names = list(keys or sample_key_columns(frame) or frame.columns)
+    others = [
+        F.col(quoted(item.name)).asc_nulls_first()
+        for item in frame.schema.fields
+        if item.name not in names and family(item.dataType) is not None
+    ]
     ranked = frame.withColumn("_h", md5_of([F.col(quoted(n)) for n in names]))
+
+    def lowest(candidates: DataFrame) -> DataFrame:
+        return candidates.orderBy("_h", *others).limit(rows).drop("_h")
+
     if total is None or total <= 4 * rows:
-        return ranked.orderBy("_h").limit(rows).drop("_h")
-    cut = f"{min(2**32 - 1, int(2**32 * (rows + 6 * rows**0.5 + 50) / total)):08x}"
-    low = ranked.filter(F.col("_h") < cut)
-    if low.limit(rows).count() < rows:
-        return ranked.orderBy("_h").limit(rows).drop("_h")
-    return low.orderBy("_h").limit(rows).drop("_h")
+        return lowest(ranked)
+    share = (rows + 6 * rows**0.5 + 50) / total
+    low = ranked.filter(F.col("_h") < f"{int(2**32 * min(share, 1 - 2**-32)):08x}")
+    return lowest(low if low.limit(rows).count() == rows else ranked)

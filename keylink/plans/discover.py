@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keylink.functions.canonical import family, join_key, quoted
+from keylink.functions.canonical import join_key, quoted
 from keylink.functions.frames import metadata_frame, union_all
 from keylink.operators.bloom import bloom_key_sets
 from keylink.operators.candidates import candidate_pairs, classify
@@ -50,7 +50,10 @@ PEEK_ROWS = 1_000
 PEEK_VALUES = 100
 PEEK_VALUES_IN_ALL = 500_000
 
-STRATEGIES = ("staged", "oneshot")
+# Below this many cells one pass over all columns costs less than the extra stages.
+STAGED_FROM_CELLS = 100_000_000
+
+STRATEGIES = ("auto", "staged", "oneshot")
 MEMBERSHIPS = ("exact", "bloom")
 
 _COUNTS_SCHEMA = T.StructType(
@@ -77,14 +80,15 @@ def discover(
     source: Source,
     params: Params | None = None,
     workspace: Workspace | None = None,
-    strategy: str = "staged",
+    strategy: str = "auto",
     membership: str = "exact",
 ) -> DataFrame:
     """Relations of ``source`` as a 13-column DataFrame.
 
     ``staged`` counts the columns that may be keys first and leaves out the
     referencing columns whose first rows already miss every key too often;
-    ``oneshot`` counts all columns at once.  Both give the same rows.
+    ``oneshot`` counts all columns at once.  Both give the same rows; ``auto``
+    goes by the number of cells.
     """
     if strategy not in STRATEGIES or membership not in MEMBERSHIPS:
         raise ValueError(f"strategy is one of {STRATEGIES}, membership of {MEMBERSHIPS}")
@@ -93,11 +97,12 @@ def discover(
     run.gate_tables_and_columns()
     if not run.eligible:
         return run.relations(None)
-    run.count_possible_keys(peek=strategy == "staged")
+    staged = strategy == "staged" or (strategy == "auto" and run.cells() >= STAGED_FROM_CELLS)
+    run.count_possible_keys(peek=staged)
     if params.sample_rows is not None:
         run.count_samples()
     else:
-        run.count_references(prune=strategy == "staged")
+        run.count_references(prune=staged)
     return run.relations(run.hits(membership))
 
 
@@ -155,6 +160,9 @@ class _Run:
             c for c in self.columns.values() if c.cid in cids and c.table in self.table_rows
         ]
 
+    def cells(self) -> int:
+        return sum(self.table_rows[c.table] for c in self.eligible)
+
     def text_stats(self) -> bool:
         return self.params.use_str_len or self.params.class_policy == "ascii"
 
@@ -286,10 +294,7 @@ class _Run:
                 *[quoted(c.name) for c in self.eligible if c.table == table]
             )
             sampled[table] = column_sample(
-                frame,
-                self.params.sample_rows,
-                self.table_rows[table],
-                keys=[c.name for c in self.eligible if c.table == table and family(c.dtype)],
+                frame, self.params.sample_rows, self.table_rows[table]
             )
         sample = replace(self.source, tables={**self.source.tables, **sampled})
         self.fk_counts = self.save_counts(sample, refs, "sample")
