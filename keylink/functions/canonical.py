@@ -12,6 +12,8 @@ parsed projection per table instead of many calls per column.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
 # Texts longer than this are grouped and joined by a digest of the whole text.
@@ -28,9 +30,11 @@ def family(dtype: T.DataType) -> str | None:
         return INTEGRAL
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return FLOATING
+    if isinstance(dtype, T.DecimalType):
+        return dtype.simpleString()
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return dtype.typeName()
-    if is_text(dtype) or isinstance(dtype, (T.DecimalType, T.BooleanType)):
+    if is_text(dtype) or isinstance(dtype, T.BooleanType):
         return TEXT
     return None
 
@@ -52,15 +56,6 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def plain_text(name: str, dtype: T.DataType) -> str:
-    """Canonical text of a text-family column, unshortened."""
-    text = f"CAST({quoted(name)} AS STRING)"
-    if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
-        # Dropping the zeros in text keeps all digits of wide decimals.
-        text = rf"regexp_replace(regexp_replace({text}, r'(\.\d*?)0+$', '$1'), r'\.$', '')"
-    return text
-
-
 def native_value(name: str, dtype: T.DataType) -> str:
     """The form in which values of a family are grouped."""
     kind = family(dtype)
@@ -70,7 +65,7 @@ def native_value(name: str, dtype: T.DataType) -> str:
         # Adding zero folds -0.0 into 0.0.
         return f"CAST({quoted(name)} AS DOUBLE) + 0.0D"
     if kind == TEXT:
-        text = plain_text(name, dtype)
+        text = f"CAST({quoted(name)} AS STRING)"
         if not is_text(dtype):
             return text
         return (
@@ -80,13 +75,24 @@ def native_value(name: str, dtype: T.DataType) -> str:
     return quoted(name)
 
 
+def rendered(native: str, kind: str) -> str:
+    """Canonical text of a grouped value."""
+    scale = re.fullmatch(r"decimal\(\d+,(\d+)\)", kind)
+    if scale and int(scale[1]) > 0:
+        # Plain digits whatever the cast rules of the session; dropping the
+        # zeros in text keeps all digits of wide decimals.
+        plain = f"replace(format_number({native}, {scale[1]}), ',', '')"
+        return rf"regexp_replace(regexp_replace({plain}, r'0+$', ''), r'\.$', '')"
+    return f"CAST({native} AS STRING)"
+
+
 def join_key(name: str, dtype: T.DataType) -> str:
     """Row-level join key; equal for two cells iff they hold the same value."""
-    return f"CAST({native_value(name, dtype)} AS STRING)"
+    return rendered(native_value(name, dtype), family(dtype))
 
 
 def canonical_text(name: str, dtype: T.DataType) -> str:
     """Row-level canonical text, whole."""
     if family(dtype) == TEXT:
-        return plain_text(name, dtype)
+        return f"CAST({quoted(name)} AS STRING)"
     return join_key(name, dtype)

@@ -14,8 +14,8 @@ from keylink.functions.canonical import (
     family,
     is_text,
     native_value,
-    plain_text,
     quoted,
+    rendered,
 )
 from keylink.functions.frames import md5_of, union_all
 from keylink.sources.catalog import ColumnInfo, Source
@@ -65,17 +65,18 @@ def value_counts(
         if text_stats and kind == TEXT:
             aggregates += [F.max("chars").alias("chars"), F.max("octets").alias("octets")]
         counts = union_all(parts).groupBy("cid", "x").agg(*aggregates)
-        out = ["cid", "CAST(x AS STRING) AS v", "cnt"]
+        text = rendered("x", kind)
+        out = ["cid", f"{text} AS v", "cnt"]
         if text_stats and kind == TEXT:
             out += ["chars", "coalesce(chars = octets, false) AS ascii"]
         elif text_stats:
-            out += ["char_length(CAST(x AS STRING)) AS chars", "x IS NOT NULL AS ascii"]
+            out += [f"char_length({text}) AS chars", "x IS NOT NULL AS ascii"]
         counted.append(counts.selectExpr(*out))
     return union_all(counted)
 
 
 def _value_and_lengths(c: ColumnInfo) -> tuple[str, str, str]:
-    text = plain_text(c.name, c.dtype)
+    text = canonical_text(c.name, c.dtype)
     return native_value(c.name, c.dtype), f"char_length({text})", f"octet_length({text})"
 
 

@@ -106,7 +106,7 @@ class Source:
                 c.table,
                 c.name,
                 c.type_name,
-                family(c.dtype) or "other",
+                (family(c.dtype) or "other").split("(")[0],
                 is_text(c.dtype),
                 c.comment,
                 c.ordinal,

@@ -1,0 +1,56 @@
+import pytest
+
+from keylink import Params, Source
+from keylink.operators import bloom
+from keylink.operators.values import key_columns, value_counts
+from pyspark.sql import functions as F
+
+
+@pytest.fixture(scope="module")
+def counts(spark):
+    source = Source(
+        "db",
+        {
+            "small": spark.range(500).withColumnRenamed("id", "s"),
+            "large": spark.range(20_000).withColumnRenamed("id", "l"),
+            "outside": spark.range(50_000, 90_000).withColumnRenamed("id", "o"),
+            "inside": spark.range(30_000).selectExpr("id % 20000 AS i"),
+        },
+    )
+    frame = value_counts(source, key_columns(source)).cache()
+    yield frame
+    frame.unpersist()
+
+
+def hits(counts, fks, pks, largest):
+    from keylink.operators.inclusion import hits_of_key_sets
+
+    sets = bloom.bloom_key_sets(counts, fks, counts, pks, largest)
+    return {(r["fk"], r["pk"]): r["hits"] for r in hits_of_key_sets(sets).collect()}
+
+
+def test_no_false_negative_and_few_false_positives(counts):
+    found = hits(counts, [0, 2, 3], [0, 1], 20_000)
+    assert found[0, 0] == 500 and found[0, 1] == 500
+    assert found[3, 1] == 30_000
+    assert 0 <= found.get((2, 1), 0) / 40_000 <= 2 * bloom.ERROR_RATE
+    assert found.get((2, 0), 0) <= found.get((2, 1), 0) + 1
+
+
+def test_filters_are_smaller_than_their_keys(counts):
+    keys = counts.filter(F.col("cid") == 1)
+    blocks = bloom.block_count(20_000)
+    filters = bloom.build_filters(keys.select("v", "cid"), blocks)
+    assert filters.count() <= blocks
+    assert blocks * 64 < 20_000 * 4  # under four bytes a key
+
+
+def test_bloom_discovery_only_adds_relations(spark, links):
+    tables = {
+        "k": spark.range(2_000).withColumnRenamed("id", "k"),
+        "f": spark.range(3_000).selectExpr("id % 2000 AS x", "id % 2001 AS y"),
+    }
+    exact = links(tables, Params.ungated(sup_out_foreign_key=0.1))
+    approximate = links(tables, Params.ungated(sup_out_foreign_key=0.1), membership="bloom")
+    assert set(exact) <= set(approximate)
+    assert all(approximate[pair] <= exact[pair] for pair in exact)
