@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.tables import COLUMN_COMMENTS, DB, OPTIONAL, TABLE_COMMENTS, TABLES
-from keylink.functions.canonical import FLOATING, family, join_key
+from keylink.functions.canonical import FLOATING, family
 from keylink.functions.frames import metadata_frame, union_all
 from keylink.operators import candidates, gates, inclusion, results, values
 from keylink.operators.profile import column_profile, with_uniqueness
@@ -269,7 +269,7 @@ def column_sample(spark, sf_dir):
     lineitem = source(spark, sf_dir).tables["lineitem"].select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"
     )
-    return values.column_sample(lineitem, 10_000, lineitem.count())
+    return values.column_sample(lineitem, 10_000, lineitem.count(), Workspace(spark))
 
 
 # -- candidates ------------------------------------------------------------------
@@ -332,13 +332,7 @@ def _one_pair(probe):
     def query(spark, sf_dir):
         tables = source(spark, sf_dir).tables
         orders = tables["orders"].select("o_orderkey", "o_custkey")
-        supplier = tables["supplier"]
-        return probe(
-            orders,
-            F.expr(join_key("o_custkey", orders.schema["o_custkey"].dataType)),
-            supplier,
-            F.expr(join_key("s_suppkey", supplier.schema["s_suppkey"].dataType)),
-        )
+        return probe(orders, "o_custkey", tables["supplier"], "s_suppkey")
 
     return query
 

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keylink.functions.canonical import family, join_key, native_value
 from keylink.params import FIXED_RATIO_BASE
 
 
@@ -89,18 +90,23 @@ def accepted(pairs: DataFrame, sup_out_foreign_key: float) -> DataFrame:
     return pairs.filter(F.col("miss_ratio") <= F.lit(float(sup_out_foreign_key)))
 
 
-def orphan_rows(fk_frame: DataFrame, fk_key: Column, pk_frame: DataFrame, pk_key: Column):
+def orphan_rows(fk_frame: DataFrame, fk: str, pk_frame: DataFrame, pk: str) -> DataFrame:
     """Rows of one table whose value is missing from one key column."""
-    return _probe_one(fk_frame, fk_key, pk_frame, pk_key, "left_anti")
+    return _probe_one(fk_frame, fk, pk_frame, pk, "left_anti")
 
 
-def matched_rows(fk_frame: DataFrame, fk_key: Column, pk_frame: DataFrame, pk_key: Column):
+def matched_rows(fk_frame: DataFrame, fk: str, pk_frame: DataFrame, pk: str) -> DataFrame:
     """Rows of one table whose value occurs in one key column."""
-    return _probe_one(fk_frame, fk_key, pk_frame, pk_key, "left_semi")
+    return _probe_one(fk_frame, fk, pk_frame, pk, "left_semi")
 
 
-def _probe_one(fk_frame, fk_key, pk_frame, pk_key, how) -> DataFrame:
+def _probe_one(fk_frame, fk, pk_frame, pk, how) -> DataFrame:
+    fk_type, pk_type = fk_frame.schema[fk].dataType, pk_frame.schema[pk].dataType
+    # Columns of one family are joined in their own type, others by their text.
+    form = native_value if family(fk_type) == family(pk_type) else join_key
     # The key side is unique, so a hot value repeats on the left side only,
     # where the adaptive skew join can split it.
-    keys = pk_frame.select(pk_key.alias("_key"))
-    return fk_frame.withColumn("_key", fk_key).join(keys, "_key", how).drop("_key")
+    keys = pk_frame.select(F.expr(form(pk, pk_type)).alias("_key"))
+    return fk_frame.withColumn("_key", F.expr(form(fk, fk_type))).join(keys, "_key", how).drop(
+        "_key"
+    )

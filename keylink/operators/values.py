@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +13,14 @@ from keylink.functions.canonical import (
     canonical_text,
     family,
     is_text,
+    join_key,
     native_value,
     quoted,
     rendered,
 )
 from keylink.functions.frames import md5_of, union_all
 from keylink.sources.catalog import ColumnInfo, Source
+from keylink.sources.workspace import Workspace
 
 
 def key_columns(source: Source) -> list[ColumnInfo]:
@@ -26,11 +28,24 @@ def key_columns(source: Source) -> list[ColumnInfo]:
     return [c for c in source.columns() if family(c.dtype) is not None]
 
 
-def _scans(columns: Sequence[ColumnInfo]) -> dict[tuple[str, str], list[ColumnInfo]]:
+# Tables below this many cells are read once, all columns as text: grouping
+# them by native type would only add branches to the plan.
+ONE_SCAN_CELLS = 1_000_000
+
+
+def _scans(
+    columns: Sequence[ColumnInfo], table_rows: Mapping[str, int]
+) -> dict[tuple[str, str], list[ColumnInfo]]:
     """Columns grouped by (family, table): each group is one pruned scan."""
-    scans: dict[tuple[str, str], list[ColumnInfo]] = {}
+    by_table: dict[str, list[ColumnInfo]] = {}
     for item in columns:
-        scans.setdefault((family(item.dtype), item.table), []).append(item)
+        by_table.setdefault(item.table, []).append(item)
+    scans: dict[tuple[str, str], list[ColumnInfo]] = {}
+    for table, items in by_table.items():
+        cells = len(items) * table_rows.get(table, ONE_SCAN_CELLS)
+        for item in items:
+            kind = TEXT if cells < ONE_SCAN_CELLS else family(item.dtype)
+            scans.setdefault((kind, table), []).append(item)
     return scans
 
 
@@ -42,7 +57,10 @@ def _unpivot(frame: DataFrame, items: Sequence[ColumnInfo], parts, names) -> Dat
 
 
 def value_counts(
-    source: Source, columns: Sequence[ColumnInfo], text_stats: bool = False
+    source: Source,
+    columns: Sequence[ColumnInfo],
+    text_stats: bool = False,
+    table_rows: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """``cid, v, cnt``: every distinct value of every column with its row count.
 
@@ -50,12 +68,15 @@ def value_counts(
     the shuffle carries numbers as numbers and each map task sends a hot value
     once.  With ``text_stats`` the length in characters (``chars``) and whether
     the value is plain ASCII (``ascii``) come along, measured on the whole text.
+    ``table_rows``, where known, keeps the plan short for small tables.
     """
     grouped: dict[str, list[DataFrame]] = {}
-    for (kind, table), items in _scans(columns).items():
+    for (kind, table), items in _scans(columns, table_rows or {}).items():
         frame = source.tables[table]
         if kind == TEXT and text_stats:
-            long = _unpivot(frame, items, _value_and_lengths, ("x", "chars", "octets"))
+            long = _unpivot(frame, items, _key_and_lengths, ("x", "chars", "octets"))
+        elif kind == TEXT:
+            long = _unpivot(frame, items, lambda c: (join_key(c.name, c.dtype),), ("x",))
         else:
             long = _unpivot(frame, items, lambda c: (native_value(c.name, c.dtype),), ("x",))
         grouped.setdefault(kind, []).append(long)
@@ -75,9 +96,9 @@ def value_counts(
     return union_all(counted)
 
 
-def _value_and_lengths(c: ColumnInfo) -> tuple[str, str, str]:
+def _key_and_lengths(c: ColumnInfo) -> tuple[str, str, str]:
     text = canonical_text(c.name, c.dtype)
-    return native_value(c.name, c.dtype), f"char_length({text})", f"octet_length({text})"
+    return join_key(c.name, c.dtype), f"char_length({text})", f"octet_length({text})"
 
 
 def values_long(source: Source, columns: Sequence[ColumnInfo]) -> DataFrame:
@@ -99,8 +120,8 @@ def values_long(source: Source, columns: Sequence[ColumnInfo]) -> DataFrame:
 
 
 def pk_values(source: Source, columns: Sequence[ColumnInfo]) -> DataFrame:
-    """``cid, v``: the distinct whole values of key columns."""
-    return values_long(source, columns).dropDuplicates(["cid", "v"])
+    """``cid, v``: the whole values of key columns; unique, so nothing is shuffled."""
+    return values_long(source, columns)
 
 
 def sample_key_columns(frame: DataFrame) -> list[str]:
@@ -113,29 +134,28 @@ def sample_key_columns(frame: DataFrame) -> list[str]:
 
 
 def column_sample(
-    frame: DataFrame, rows: int, total: int | None = None, keys: Sequence[str] | None = None
+    frame: DataFrame, rows: int, total: int | None = None, workspace: Workspace | None = None
 ) -> DataFrame:
-    """The ``rows`` rows with the lowest md5 over ``keys``; the same on every run.
-
-    Rows with equal keys are ordered by their other columns.  With ``total``
-    (the row count of ``frame``) rows far above the expected cut are filtered
-    in the scan, so the final top-n sees little more than ``rows`` rows in all,
-    rather than ``rows`` from each task.  Copies share one hash and may leave
-    too few rows below that cut; then the whole table is ranked.
+    """The ``rows`` rows with the lowest md5 over their integers and texts.
+
+    The order is the same on every run; rows that agree in those columns are
+    ordered by the others.  Given ``total`` (the row count of ``frame``) and a
+    ``workspace``, one pass keeps the rows below a cut that is expected to hold
+    slightly more than ``rows`` of them, and the top-n sees only these rather
+    than ``rows`` from each task.  Copies share one hash and may leave too few
+    rows below the cut; then the whole table is ranked.
     """
-    names = list(keys or sample_key_columns(frame) or frame.columns)
+    names = sample_key_columns(frame) or frame.columns
     others = [
         F.col(quoted(item.name)).asc_nulls_first()
         for item in frame.schema.fields
         if item.name not in names and family(item.dataType) is not None
     ]
     ranked = frame.withColumn("_h", md5_of([F.col(quoted(n)) for n in names]))
-
-    def lowest(candidates: DataFrame) -> DataFrame:
-        return candidates.orderBy("_h", *others).limit(rows).drop("_h")
-
-    if total is None or total <= 4 * rows:
-        return lowest(ranked)
-    share = (rows + 6 * rows**0.5 + 50) / total
-    low = ranked.filter(F.col("_h") < f"{int(2**32 * min(share, 1 - 2**-32)):08x}")
-    return lowest(low if low.limit(rows).count() == rows else ranked)
+    if total is not None and workspace is not None and total > 4 * rows:
+        share = (rows + 6 * rows**0.5 + 50) / total
+        cut = f"{int(2**32 * min(share, 1 - 2**-32)):08x}"
+        low = workspace.save(ranked.filter(F.col("_h") < cut), "sample")
+        if low.count() >= rows:
+            ranked = low
+    return ranked.orderBy("_h", *others).limit(rows).drop("_h")

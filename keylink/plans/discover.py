@@ -97,12 +97,14 @@ def discover(
     run.gate_tables_and_columns()
     if not run.eligible:
         return run.relations(None)
-    staged = strategy == "staged" or (strategy == "auto" and run.cells() >= STAGED_FROM_CELLS)
-    run.count_possible_keys(peek=staged)
+    prune = strategy == "staged" or (strategy == "auto" and run.cells() >= STAGED_FROM_CELLS)
+    # Where only keys are counted in full, looking ahead pays on small data too.
+    keys_only = params.sample_rows is not None or params.class_policy == "unique_only"
+    run.count_possible_keys(peek=prune or (strategy == "auto" and keys_only))
     if params.sample_rows is not None:
         run.count_samples()
     else:
-        run.count_references(prune=staged)
+        run.count_references(prune)
     return run.relations(run.hits(membership))
 
 
@@ -288,14 +290,7 @@ class _Run:
         if not refs or not self.pks:
             self.fks = []
             return
-        sampled = {}
-        for table in {c.table for c in refs}:
-            frame = self.source.tables[table].select(
-                *[quoted(c.name) for c in self.eligible if c.table == table]
-            )
-            sampled[table] = column_sample(
-                frame, self.params.sample_rows, self.table_rows[table]
-            )
+        sampled = self.samples_of({c.table for c in refs})
         sample = replace(self.source, tables={**self.source.tables, **sampled})
         self.fk_counts = self.save_counts(sample, refs, "sample")
         self.fks = []
@@ -304,6 +299,18 @@ class _Run:
             if row["reject_reason"] is None:
                 self.fks.append(row["cid"])
 
+    def samples_of(self, tables: set[str]) -> dict[str, DataFrame]:
+        def sample(table: str) -> DataFrame:
+            frame = self.source.tables[table].select(
+                *[quoted(c.name) for c in self.eligible if c.table == table]
+            )
+            return column_sample(
+                frame, self.params.sample_rows, self.table_rows[table], self.workspace
+            )
+
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            return dict(zip(tables, pool.map(sample, tables), strict=True))
+
     def profile_uncounted_text(self, refs: Sequence[ColumnInfo]) -> None:
         rest = [c for c in refs if c.cid not in self.key_rows]
         if rest:
@@ -318,7 +325,10 @@ class _Run:
         return self.table_rows[c.table]
 
     def save_counts(self, source: Source, columns: Sequence[ColumnInfo], name: str) -> DataFrame:
-        return self.workspace.save(value_counts(source, columns, self.text_stats()), name)
+        rows = self.table_rows
+        if self.params.sample_rows is not None and source is not self.source:
+            rows = {table: min(count, self.params.sample_rows) for table, count in rows.items()}
+        return self.workspace.save(value_counts(source, columns, self.text_stats(), rows), name)
 
     def gated_profile(self, counts: DataFrame) -> list:
         """One row per counted column: profile, roles and gate (catalog-sized)."""

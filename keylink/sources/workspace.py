@@ -7,6 +7,7 @@ the lineage, and give later jobs pruned columns and known sizes.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -17,12 +18,11 @@ class Workspace:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = f"{root or shared_folder(spark)}/keylink-{uuid.uuid4().hex}"
-        self._count = 0
+        self._numbers = itertools.count(1)
 
     def save(self, frame: DataFrame, name: str) -> DataFrame:
         """Writes ``frame`` once and returns it as read back."""
-        self._count += 1
-        path = f"{self.root}/{self._count:03d}-{name}"
+        path = f"{self.root}/{next(self._numbers):04d}-{name}"
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 

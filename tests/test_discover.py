@@ -6,8 +6,7 @@ from hypothesis import strategies as st
 
 from keylink import Params, Source
 from keylink.functions.frames import metadata_frame
-from keylink.operators.inclusion import orphan_rows
-from pyspark.sql import functions as F
+from keylink.operators.inclusion import matched_rows, orphan_rows
 
 BOTH = ["oneshot", "staged"]
 
@@ -164,9 +163,10 @@ def test_against_brute_force(spark, links, columns, sup):
 def test_one_shuffle_result_equals_single_pair_probe(spark, links):
     keys = spark.range(0, 1000, 3).withColumnRenamed("id", "k")
     refs = spark.range(500).selectExpr("id * 2 AS f")
-    missing = orphan_rows(
-        refs, F.expr("CAST(f AS STRING)"), keys, F.expr("CAST(k AS STRING)")
-    ).count()
+    missing = orphan_rows(refs, "f", keys, "k").count()
+    texts = refs.selectExpr("CAST(f AS STRING) AS f")
+    assert orphan_rows(texts, "f", keys, "k").count() == missing
+    assert matched_rows(texts, "f", keys, "k").count() == 500 - missing
     found = links({"k": keys, "r": refs}, Params.ungated(sup_out_foreign_key=0.9))
     assert found["r.f", "k.k"] == missing / 500
 

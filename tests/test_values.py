@@ -2,7 +2,7 @@ from decimal import Decimal
 
 import pytest
 
-from keylink import Params, Source
+from keylink import Params, Source, Workspace
 from keylink.functions.canonical import join_key
 from keylink.functions.frames import md5_of
 from keylink.operators import candidates, values
@@ -124,11 +124,12 @@ def test_profile_numbers(spark, table):
 
 def test_sample_repeats_and_grows_to_the_whole(spark):
     frame = spark.range(25_000).selectExpr("id", "CAST(id % 7 AS STRING) AS t", "id * 1.5D AS d")
-    first = values.column_sample(frame, 500, 25_000).collect()
-    again = values.column_sample(frame.repartition(13), 500, 25_000).collect()
+    space = Workspace(spark)
+    first = values.column_sample(frame, 500, 25_000, space).collect()
+    again = values.column_sample(frame.repartition(13), 500, 25_000, space).collect()
     unfiltered = values.column_sample(frame, 500).collect()
     assert sorted(first) == sorted(again) == sorted(unfiltered)
-    assert values.column_sample(frame, 30_000, 25_000).count() == 25_000
+    assert values.column_sample(frame, 30_000, 25_000, space).count() == 25_000
 
 
 def test_sample_when_one_key_fills_the_table(spark):
@@ -137,11 +138,11 @@ def test_sample_when_one_key_fills_the_table(spark):
     expected = [
         r["k"] for r in frame.orderBy(md5_of([F.col("k")])).limit(50).collect()
     ]
-    assert sorted(r["k"] for r in values.column_sample(frame, 50, 9_000).collect()) == sorted(
-        expected
-    )
+    space = Workspace(spark)
+    got = [r["k"] for r in values.column_sample(frame, 50, 9_000, space).collect()]
+    assert sorted(got) == sorted(expected)
     same = spark.range(5_000).selectExpr("1 AS k")
-    assert values.column_sample(same, 50, 5_000).count() == 50
+    assert values.column_sample(same, 50, 5_000, space).count() == 50
 
 
 def test_sampled_discovery_equals_full_scan_when_the_sample_is_everything(spark, links):
