@@ -6,10 +6,13 @@ per table or column, so they are metadata-sized whatever the tables hold.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import logging
+
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,8 @@ from pyspark.sql import types as T
 from keylink.functions.canonical import declared_name, family, is_text, quoted
 from keylink.functions.frames import metadata_frame, union_all
 
+log = logging.getLogger(__name__)
+
 TABLES_SCHEMA = T.StructType(
     [
         T.StructField("db", T.StringType()),
@@ -56,6 +61,7 @@ class Source:
 
     ``declared_types`` overrides the Spark type name of a column where the
     source declares something finer (``VARCHAR2`` of a remote database).
+    ``unreadable`` names tables that were asked for but could not be opened.
     """
 
     db: str
@@ -63,12 +69,14 @@ class Source:
     table_comments: Mapping[str, str] = field(default_factory=dict)
     column_comments: Mapping[tuple[str, str], str] = field(default_factory=dict)
     declared_types: Mapping[tuple[str, str], str] = field(default_factory=dict)
+    unreadable: tuple[str, ...] = ()
 
     def subset(self, names: Iterable[str]) -> Source:
         wanted = set(names)
-        kept = {name: frame for name, frame in self.tables.items() if name in wanted}
-        return Source(
-            self.db, kept, self.table_comments, self.column_comments, self.declared_types
+        return replace(
+            self,
+            tables={name: frame for name, frame in self.tables.items() if name in wanted},
+            unreadable=tuple(name for name in self.unreadable if name in wanted),
         )
 
     def unknown(self, names: Iterable[str]) -> list[str]:
@@ -150,17 +158,23 @@ def attach_comments(columns: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def table_row_counts(source: Source) -> DataFrame:
-    """``table_name, row_count`` in one job; reads no column of any table."""
+    """``table_name, row_count`` in one job; reads no column of any table.
+
+    An unreadable table has no row count.
+    """
     spark = next(iter(source.tables.values())).sparkSession
-    names = list(source.tables)
-    known = metadata_frame(spark, enumerate(names), "tid int, table_name string")
+    known = metadata_frame(spark, enumerate(source.tables), "tid int, table_name string")
+    closed = metadata_frame(
+        spark, [(name,) for name in source.unreadable], "table_name string"
+    ).withColumn("row_count", F.lit(None).cast("bigint"))
     ones = union_all(
         [frame.selectExpr(f"{tid} AS tid") for tid, frame in enumerate(source.tables.values())]
     )
     counted = ones.groupBy("tid").agg(F.count(F.lit(1)).alias("row_count"))
-    return known.join(counted, "tid", "left").select(
+    found = known.join(counted, "tid", "left").select(
         "table_name", F.coalesce("row_count", F.lit(0)).alias("row_count")
     )
+    return found.unionByName(closed) if source.unreadable else found
 
 
 def column_counts(source: Source, columns: Sequence[ColumnInfo] | None = None) -> DataFrame:
@@ -198,10 +212,29 @@ def files_source(
         reader = spark.read.format(fmt).options(**(options or {}))
         return reader.load(f"{path}/{name}.{fmt}")
 
-    # Reading a schema is a small job of its own, so several run at a time.
+    tables, unreadable = open_tables(names, load)
+    return Source(db=db, tables=tables, unreadable=unreadable, **metadata)
+
+
+def open_tables(
+    names: Sequence[str], load: Callable[[str], DataFrame]
+) -> tuple[dict[str, DataFrame], tuple[str, ...]]:
+    """Opens tables side by side (a schema is a small job of its own).
+
+    Tables that are missing or closed to the user are reported, not fatal.
+    """
+
+    def attempt(name: str) -> DataFrame | None:
+        try:
+            return load(name)
+        except AnalysisException as error:
+            log.warning("table %s cannot be opened: %s", name, error.getCondition())
+            return None
+
     with ThreadPoolExecutor(max_workers=8) as pool:
-        tables = dict(zip(names, pool.map(load, names), strict=True))
-    return Source(db=db, tables=tables, **metadata)
+        opened = dict(zip(names, pool.map(attempt, names), strict=True))
+    tables = {name: frame for name, frame in opened.items() if frame is not None}
+    return tables, tuple(name for name in names if name not in tables)
 
 
 def list_file_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> list[str]:
@@ -228,5 +261,7 @@ def spark_catalog_source(
         if t.tableType != "VIEW" and not t.isTemporary
     }
     wanted = [n for n in (names or sorted(described)) if n in described]
-    tables = {name: spark.table(f"`{database}`.`{name}`") for name in wanted}
-    return Source(db=database, tables=tables, table_comments=described)
+    tables, unreadable = open_tables(
+        wanted, lambda name: spark.table(f"{quoted(database)}.{quoted(name)}")
+    )
+    return Source(database, tables, table_comments=described, unreadable=unreadable)

@@ -4,6 +4,7 @@ import pytest
 
 from keylink import Params, files_source, spark_catalog_source
 from keylink.__main__ import main
+from keylink.operators.gates import table_gate
 from keylink.params import resolve_params
 from keylink.sources import catalog
 from keylink.sources.jdbc import DIALECTS, Connection, dialect_of, policies, split_options
@@ -67,6 +68,16 @@ def test_file_tables_are_listed_and_read(spark, tmp_path):
     assert source.unknown(["a", "zz"]) == ["zz"]
 
 
+def test_tables_that_cannot_be_opened_are_reported(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "a.parquet"))
+    source = files_source(spark, str(tmp_path), ["a", "gone"])
+    assert list(source.tables) == ["a"] and source.unreadable == ("gone",)
+    gated = table_gate(catalog.table_row_counts(source))
+    assert {(r["table_name"], r["row_count"], r["reason"]) for r in gated.collect()} == {
+        ("a", 5, "ok"), ("gone", None, "unreadable"),
+    }
+
+
 @pytest.mark.parametrize("fmt", ["csv", "json", "orc"])
 def test_other_file_formats(spark, tmp_path, fmt):
     options = {"header": "true", "inferSchema": "true"} if fmt == "csv" else {}
