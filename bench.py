@@ -13,7 +13,14 @@ import time
 from checks.compare import session
 from checks.queries import QUERIES
 
+# From single operators to whole discoveries; the first one also starts the session up.
 HEADLINE = (
+    "resolve_params",
+    "orphan_rows",
+    "column_sample",
+    "column_profile",
+    "pk_values",
+    "inclusion_misses",
     "relations_any",
     "relations_default_params",
     "relations_tolerant",
@@ -22,12 +29,6 @@ HEADLINE = (
     "relations_mysql_types",
     "relations_sampled",
     "bloom_relations",
-    "inclusion_misses",
-    "column_profile",
-    "pk_values",
-    "orphan_rows",
-    "column_sample",
-    "resolve_params",
     "relation_replace",
 )
 

@@ -33,6 +33,9 @@ class Dialect:
         return ".".join(left + part.replace(right, right * 2) + right for part in parts)
 
 
+# Rows per round trip; results are streamed, never held whole in a task.
+FETCH_ROWS = 10_000
+
 _INFORMATION_SCHEMA = {
     "tables": "SELECT table_name, table_comment FROM information_schema.tables "
     "WHERE table_type = 'BASE TABLE' AND table_schema = {db}",
@@ -43,7 +46,7 @@ _INFORMATION_SCHEMA = {
 # Drivers, address forms, catalog views and the policies that fit each database.
 DIALECTS: dict[str, Dialect] = {
     "MYSQL": Dialect(
-        "com.mysql.cj.jdbc.Driver", "jdbc:mysql://{host}:{port}/{db}",
+        "com.mysql.cj.jdbc.Driver", "jdbc:mysql://{host}:{port}/{db}?useCursorFetch=true",
         "mysql", "unique_only", "``", **_INFORMATION_SCHEMA,
     ),
     "GBASE": Dialect(
@@ -128,6 +131,7 @@ class Connection:
             "driver": dialect.driver,
             "user": self.user,
             "password": self.password,
+            "fetchsize": str(FETCH_ROWS),
         }
 
     def metadata_query(self, which: str) -> str:

@@ -7,6 +7,7 @@ the lineage, and give later jobs pruned columns and known sizes.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import tempfile
 import uuid
@@ -28,12 +29,15 @@ class Workspace:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; local sessions may go without one."""
+    """The folder the cluster names; only a local session may go without one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.conf.get("spark.master", "").startswith("local"):
-        folder = tempfile.mkdtemp(prefix="keylink-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+        return _local_folder()
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="keylink-")

@@ -9,7 +9,7 @@ from keylink.params import resolve_params
 from keylink.sources import catalog
 from keylink.sources.jdbc import DIALECTS, Connection, dialect_of, policies, split_options
 from keylink.sources.store import ResultStore
-from keylink.sources.workspace import Workspace
+from keylink.sources.workspace import Workspace, shared_folder
 from pyspark.sql import functions as F
 
 CONFIG = (
@@ -108,7 +108,7 @@ def test_column_counts_with_empty_tables(spark):
 
 def test_jdbc_addresses_and_policies():
     c = Connection("mysql", "shop", "h", 3306, "u", "p")
-    assert c.options()["url"] == "jdbc:mysql://h:3306/shop"
+    assert c.options()["url"] == "jdbc:mysql://h:3306/shop?useCursorFetch=true"
     assert c.table_name("a`b") == "`shop`.`a``b`"
     assert "table_schema = 'shop'" in c.metadata_query("columns")
     oracle = Connection("Oracle", "O'S", url="jdbc:oracle:thin:@h:1521/x")
@@ -139,6 +139,26 @@ def test_workspace_uses_the_named_folder(spark, tmp_path):
     assert saved.count() == 3 and saved.inputFiles()
 
 
+class Session:
+    """Stands in for a session with given settings."""
+
+    def __init__(self, **settings):
+        self.conf = self
+        self.settings = settings
+
+    def get(self, name, default):
+        return self.settings.get(name.replace(".", "_"), default)
+
+
+def test_scratch_folder_per_kind_of_session():
+    named = Session(spark_checkpoint_dir="hdfs://c/scratch/", spark_master="yarn")
+    assert shared_folder(named) == "hdfs://c/scratch"
+    local = Session(spark_master="local[8]")
+    assert shared_folder(local) == shared_folder(local)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session(spark_master="yarn"))
+
+
 def test_command_line(spark, tmp_path, capsys):
     for name, rows in (("k", 20), ("f", 10)):
         spark.range(rows).write.parquet(str(tmp_path / "in" / f"{name}.parquet"))
