@@ -12,6 +12,7 @@ from checks.queries import (
     MODEL,
     NAME_RULES,
     RELATIONS,
+    STAGED,
     TABLE_RULES,
 )
 from checks.tables import (
@@ -399,5 +400,6 @@ def oracle_sql() -> dict[str, str]:
         "matched_rows": "SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS "
         "(SELECT 1 FROM supplier WHERE s_suppkey = o_custkey)",
         **{name: relations(params) for name, params in RELATIONS.items()},
+        **{f"{name}_staged": relations(RELATIONS[name]) for name in STAGED},
         **results_sql(),
     }

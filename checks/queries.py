@@ -354,6 +354,9 @@ RELATIONS = {
     "relations_sampled": U(sample_rows=1_000, inf_dup_ratio=0.3),
 }
 
+# Discoveries that are registered a second time, on the plan for large data.
+STAGED = ("relations_any", "relations_tolerant", "relations_ascii", "relations_sampled")
+
 
 def _relations_query(params, **options):
     def query(spark, sf_dir):
@@ -456,6 +459,10 @@ QUERIES = {
     "matched_rows": _one_pair(inclusion.matched_rows),
     "bloom_relations": _relations_query(U(), membership="bloom"),
     **{name: _relations_query(params) for name, params in RELATIONS.items()},
+    **{
+        f"{name}_staged": _relations_query(RELATIONS[name], strategy="staged")
+        for name in STAGED
+    },
     "relation_status": relation_status,
     "relation_new": relation_new,
     "relation_removed": relation_removed,

@@ -69,12 +69,6 @@ def column_name_gate(
     """
     if not rules:
         return columns.withColumn("name_kept", F.lit(True))
-    listed = rules_frame(spark, rules)
-    hit_by_table_rule = columns.join(
-        listed.filter(F.col("scope") != GLOBAL_SCOPE),
-        (F.col("table_name") == F.col("scope")) & _matches(F.col("column_name"), F.col("rule")),
-        "left_semi",
-    ).select("table_name", "column_name", F.lit(True).alias("_table_hit"))
     name = F.col("column_name")
     global_rules = list(rules.get(GLOBAL_SCOPE, ()))
     if mode == "documented":
@@ -89,6 +83,14 @@ def column_name_gate(
         first = global_rules[0]
         matched = _literal_match(name, first)
         kept = matched if first.endswith("%") else ~matched
+    if not any(listed for scope, listed in rules.items() if scope != GLOBAL_SCOPE):
+        return columns.withColumn("name_kept", kept)
+    table_rules = rules_frame(spark, rules).filter(F.col("scope") != GLOBAL_SCOPE)
+    hit_by_table_rule = columns.join(
+        table_rules,
+        (F.col("table_name") == F.col("scope")) & _matches(name, F.col("rule")),
+        "left_semi",
+    ).select("table_name", "column_name", F.lit(True).alias("_table_hit"))
     return (
         columns.join(hit_by_table_rule, ["table_name", "column_name"], "left")
         .withColumn("name_kept", kept & F.col("_table_hit").isNull())

@@ -44,8 +44,10 @@ RELATION_COLUMNS = (
     "matching_degree",
 )
 
-# The first rows of each table that are looked at to rule columns out early.
-PEEK_ROWS = 1_000
+# The first rows of each table that are looked at to rule columns out early;
+# fewer of them where a table is so wide that the driver would hold too many cells.
+PEEK_ROWS = 10_000
+PEEK_CELLS = 200_000
 # Of those, how many distinct values per column are tried against the keys.
 PEEK_VALUES = 100
 PEEK_VALUES_IN_ALL = 500_000
@@ -180,11 +182,9 @@ class _Run:
         """Counts all columns that may be unique and picks the keys among them."""
         if peek:
             self.peek()
-        possible = [
-            c
-            for c in self.eligible
-            if not peek or (self.may_be_key(c) and not self.ruled_out_as_key(c))
-        ]
+        # Barred tables are counted as well: whether their columns are unique
+        # decides which of them may refer.
+        possible = [c for c in self.eligible if not peek or not self.ruled_out_as_key(c)]
         if possible:
             self.key_counts = self.save_counts(self.source, possible, "keys")
             self.take_profiles(self.key_counts)
@@ -203,7 +203,8 @@ class _Run:
         def look(table: str) -> None:
             items = by_table[table]
             keys = [f"{join_key(c.name, c.dtype)} AS c{c.cid}" for c in items]
-            rows = self.source.tables[table].selectExpr(*keys).take(PEEK_ROWS)
+            limit = max(PEEK_VALUES, min(PEEK_ROWS, PEEK_CELLS // len(keys)))
+            rows = self.source.tables[table].selectExpr(*keys).take(limit)
             for position, c in enumerate(items):
                 self.peeks[c.cid] = _peek_at([row[position] for row in rows], most)
 

@@ -125,11 +125,12 @@ def test_strategies_agree(spark, links, policy, sample):
         tables[name] = metadata_frame(
             spark, rows, f"{name}1 int, {name}2 int, {name}3 string, {name}4 string, {name}5 int"
         )
-    for sup in (0.0, 0.2):
-        params = Params.ungated(class_policy=policy, sup_out_foreign_key=sup, sample_rows=sample)
+    bars = {"not_base_tables": ("b",), "not_cite_tables": ("c",)}
+    for changes in ({}, {"sup_out_foreign_key": 0.2}, bars, {**bars, "both_roles": False}):
+        params = Params.ungated(class_policy=policy, sample_rows=sample, **changes)
         oneshot = links(tables, params, strategy="oneshot")
         assert oneshot == links(tables, params, strategy="staged")
-        assert oneshot
+        assert oneshot or not params.both_roles
 
 
 @settings(max_examples=6, deadline=None,
