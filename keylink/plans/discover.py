@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keylink.functions.canonical import join_key, quoted
+from keylink.functions.canonical import is_text, join_key, quoted
 from keylink.functions.frames import metadata_frame, union_all
 from keylink.operators.bloom import bloom_key_sets
 from keylink.operators.candidates import candidate_pairs, classify
@@ -140,7 +140,7 @@ class _Run:
         self.pks: list[int] = []
         self.fks: list[int] = []
         self.tested: dict[int, int] = {}
-        self.key_rows: dict[int, int] = {}
+        self.distinct: dict[int, int] = {}
         self.key_counts: DataFrame | None = None
         self.fk_counts: DataFrame | None = None
 
@@ -215,18 +215,18 @@ class _Run:
 
     def count_references(self, prune: bool) -> None:
         """Counts the referencing columns that are still in question."""
-        counted = set(self.key_rows)
+        counted = set(self.distinct)
         rest = [c for c in self.eligible if c.cid not in counted and self.may_refer(c)]
         if self.params.class_policy == "unique_only" or not self.pks:
             rest = []
+        elif self.params.class_policy == "ascii":
+            rest = [c for c in rest if is_text(c.dtype)]
         if prune and self.pks:
-            alive = self.columns_alive(
-                [c for c in self.eligible if c.cid in self.fks] + rest
-            )
-            if alive is not None:
-                rest = [c for c in rest if c.cid in alive[0]]
-                self.fks = [cid for cid in self.fks if cid in alive[0]]
-                self.pks = [cid for cid in self.pks if cid in alive[1]]
+            known = [c for c in self.eligible if c.cid in self.fks]
+            fks, pks = self.columns_alive(known + rest)
+            rest = [c for c in rest if c.cid in fks]
+            self.fks = [cid for cid in self.fks if cid in fks]
+            self.pks = [cid for cid in self.pks if cid in pks]
         self.fk_counts = self.key_counts
         if rest:
             more = self.save_counts(self.source, rest, "references")
@@ -234,18 +234,20 @@ class _Run:
             parts = [frame for frame in (self.key_counts, more) if frame is not None]
             self.fk_counts = union_all([part.select("cid", "v", "cnt") for part in parts])
 
-    def columns_alive(self, refs: Sequence[ColumnInfo]) -> tuple[set[int], set[int]] | None:
+    def columns_alive(self, refs: Sequence[ColumnInfo]) -> tuple[set[int], set[int]]:
         """Columns of pairs that the peeked rows do not yet refuse.
 
         Misses can only grow with more rows, so a pair refused here would be
-        refused by the full test.  ``None`` when some column could pass without
-        a single hit among its peeked rows, so that nothing may be left out.
+        refused by the full test.  A column that could pass without a single
+        hit among its peeked rows stays, and then all keys stay.
         """
-        refs = [c for c in refs if self.may_refer(c)]
         sup = self.params.sup_out_foreign_key
-        for c in refs:
-            if self.peeks[c.cid].tested_rows() / self.ratio_base(c) <= sup:
-                return None
+        undecided = {
+            c.cid for c in refs if self.peeks[c.cid].tested_rows() / self.ratio_base(c) <= sup
+        }
+        refs = [c for c in refs if c.cid not in undecided]
+        if not refs:
+            return undecided, set(self.pks)
         probe = metadata_frame(
             self.spark,
             [
@@ -277,7 +279,8 @@ class _Run:
             .agg(F.collect_set("fk").alias("fks"), F.collect_set("pk").alias("pks"))
             .first()
         )
-        return set(alive["fks"]), set(alive["pks"])
+        keys_alive = set(self.pks) if undecided else set(alive["pks"])
+        return undecided | set(alive["fks"]), keys_alive
 
     def count_samples(self) -> None:
         """Gates and tests a repeatable sample of every table instead of all rows."""
@@ -286,7 +289,7 @@ class _Run:
             self.profile_uncounted_text(refs)
         allowed = set(self.fks)
         if self.params.class_policy == "any":
-            allowed |= {c.cid for c in refs} - set(self.key_rows)
+            allowed |= {c.cid for c in refs} - set(self.distinct)
         refs = [c for c in refs if c.cid in allowed]
         if not refs or not self.pks:
             self.fks = []
@@ -313,7 +316,7 @@ class _Run:
             return dict(zip(tables, pool.map(sample, tables), strict=True))
 
     def profile_uncounted_text(self, refs: Sequence[ColumnInfo]) -> None:
-        rest = [c for c in refs if c.cid not in self.key_rows]
+        rest = [c for c in refs if c.cid not in self.distinct]
         if rest:
             counts = self.save_counts(self.source, rest, "text")
             self.take_profiles(counts, keys=False)
@@ -337,9 +340,7 @@ class _Run:
         catalog = self.source.columns_frame(self.spark).select("cid", "is_text")
         profiled = column_profile(counts).join(catalog, "cid")
         return value_gate(
-            classify(profiled, p.class_policy, p.both_roles)
-            if self.text_stats() or p.class_policy != "ascii"
-            else profiled,
+            classify(profiled, p.class_policy, p.both_roles),
             p.use_str_len,
             p.inf_str_len,
             p.inf_dup_ratio,
@@ -350,7 +351,7 @@ class _Run:
         gates_apply = self.params.sample_rows is None
         for row in self.gated_profile(counts):
             c = self.columns[row["cid"]]
-            self.key_rows[c.cid] = row["distinct_values"]
+            self.distinct[c.cid] = row["distinct_values"]
             self.tested[c.cid] = row["row_count"]
             if keys and row["pk"] and self.may_be_key(c):
                 self.pks.append(c.cid)
@@ -364,7 +365,7 @@ class _Run:
             return None
         keys = self.key_counts.select("cid", "v", "cnt")
         if membership == "bloom":
-            largest = max(self.key_rows[cid] for cid in self.pks)
+            largest = max(self.distinct[cid] for cid in self.pks)
             sets = bloom_key_sets(self.fk_counts, self.fks, keys, self.pks, largest)
             return hits_of_key_sets(sets)
         if self.params.sample_rows is not None:

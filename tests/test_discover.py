@@ -126,7 +126,7 @@ def test_strategies_agree(spark, links, policy, sample):
             spark, rows, f"{name}1 int, {name}2 int, {name}3 string, {name}4 string, {name}5 int"
         )
     bars = {"not_base_tables": ("b",), "not_cite_tables": ("c",)}
-    for changes in ({}, {"sup_out_foreign_key": 0.2}, bars, {**bars, "both_roles": False}):
+    for changes in (bars, {**bars, "both_roles": False, "sup_out_foreign_key": 0.2}):
         params = Params.ungated(class_policy=policy, sample_rows=sample, **changes)
         oneshot = links(tables, params, strategy="oneshot")
         assert oneshot == links(tables, params, strategy="staged")
