@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keylink.llm.mixing import mix
+from keylink.llm.near_dedup import near_duplicates
 from keylink.llm.packing import pack
 from keylink.llm.quality import quality
 
@@ -26,6 +27,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return near_duplicates(docs, with_text=False).select(
+        "doc_id", "n_shingles", "component_id", "kept"
+    )
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), with_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -44,6 +52,7 @@ def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chosen_path": op1_chosen_path,
     "op3_line_frequency": op3_line_frequency,
     "op4_pack": op4_pack,
     "op6_poisson_mix": op6_poisson_mix,
