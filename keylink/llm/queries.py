@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keylink.llm.fingerprints import compare_with_edits
 from keylink.llm.mixing import mix
 from keylink.llm.near_dedup import near_duplicates
 from keylink.llm.packing import pack
@@ -51,11 +52,16 @@ def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chosen_path": op1_chosen_path,
     "op3_line_frequency": op3_line_frequency,
     "op4_pack": op4_pack,
     "op6_poisson_mix": op6_poisson_mix,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {
