@@ -4,13 +4,15 @@ A document's set are its distinct five-word shingles; equal sets are one class f
 class has minwise tokens at ``POSITIONS`` positions. ``TREES`` independent trees split the classes
 by the token at a chosen position. A node is compared exhaustively once all but ``LEAF`` of its
 classes belong to one component: those few against all. Any other node compares its members with
-one pivot, and branches again on positions that its path selects, 1/threshold of them on average,
-so that a pair at the threshold is expected in one child at least. Nodes that lie in one component
-are done, which is what ends large groups of near copies in linear work. Pairs are screened by
-their sizes and by two bits of each minwise token, then confirmed on the full sets.
+``PIVOTS`` pivots, and branches again: eight levels of the path at once, by the tokens at
+``STEP`` positions that the path selects, into (1/threshold)^8 or 4 children, so that a pair at the
+threshold is expected in one. Nodes that lie in one component are done, which is what ends large
+groups of near copies in linear work. Pairs are screened by their sizes and by two bits of each
+minwise token, then confirmed on the full sets.
 
-A pair at 85 % is missed by a split of all 12 trees with a chance of 0.15^12 = 1e-10, and by two
-splits in a row with 0.28^12 = 2e-7; the bit screen drops it with about 1e-8.
+A pair at 85 % is missed by the root's split of all 12 trees with a chance of 0.15^12 = 1e-10. In a
+large node it reaches a common child in 0.72 of the trees, so by the root and one step it is missed
+with (1 - 0.85 * 0.72)^12 = 1e-5, at 90 % with 1e-8. The bit screen drops it with about 1e-8.
 
 Defined results: null, empty or wordless texts have no shingles and link with nothing; a row with a
 null id links with nothing, has a null component and stays; repeated rows share a component, of
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keylink.llm import textarrays as ta
@@ -35,7 +37,12 @@ WORDS = 5
 PERCENT = 85
 TREES = 12
 POSITIONS = 64
-LEAF = 32
+# Small at the root; below it pivots have joined most of a large node, and few pairs are left to see.
+LEAF = (32, 256)
+PIVOTS = 8
+# A step below the root takes this many positions at once, and so many children: (1/0.85)^8.
+STEP = 8
+CHILDREN = 4
 # Of 64 pairs of bits a pair at the threshold differs in 7.2 on average, with a deviation of 2.5.
 MAX_DIFFERENT = 24
 
@@ -114,38 +121,48 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _large(level: int) -> Column:
+    return F.col("rest") > LEAF[min(level, 1)]
+
+
 def _candidates(rows: DataFrame, stats: DataFrame, level: int) -> DataFrame:
     """Screened pairs (a, b) of one level. rows: node, s (set), c (component), n and bits."""
-    few = stats.filter(F.col("rest") <= LEAF)
-    many = stats.filter(F.col("rest") > LEAF)
+    few = stats.filter(~_large(level))
+    many = stats.filter(_large(level))
     item = F.struct("s", "c", "n", "b0", "b1")
     joined = rows.join(few.select("node", "main"), "node")
     rest = (
         joined.filter("c <> main").groupBy("node")
-        .agg(F.collect_list(item).alias("others"))  # LEAF at most
+        .agg(F.collect_list(item).alias("others"))  # as many as a leaf has at most
         .withColumnRenamed("node", "node2")
     )
-    small = joined.join(rest, F.col("node") == F.col("node2")).select(
-        *rows.columns, F.explode("others").alias("o")
-    )
+    small = joined.join(rest, F.col("node") == F.col("node2")).select(*rows.columns, "others")
     pivots = (
         rows.join(many.select("node"), "node").groupBy("node")
-        .agg(F.min_by(item, F.xxhash64("s", F.lit(level))).alias("o"))
+        .agg(
+            F.array(
+                *[F.min_by(item, F.xxhash64("s", F.lit(level), F.lit(i))) for i in range(PIVOTS)]
+            ).alias("others")
+        )
         .withColumnRenamed("node", "node2")
     )
-    large = rows.join(pivots, F.col("node") == F.col("node2")).select(*rows.columns, "o")
-    both = small.union(large).filter(F.col("c") != F.col("o.c"))
-    different = sum(
-        F.bit_count(F.expr(f"(({b} ^ o.{b}) | shiftright({b} ^ o.{b}, 1)) & 6148914691236517205"))
-        for b in ("b0", "b1")
-    )
-    near = both.filter(
-        (F.least("n", "o.n") * 100 >= F.greatest("n", "o.n") * PERCENT)
-        & (different <= MAX_DIFFERENT)
-    )
+    large = rows.join(pivots, F.col("node") == F.col("node2")).select(*rows.columns, "others")
+    # screened inside the row, so that only pairs worth confirming become rows
+    near = small.union(large).select("s", F.explode(F.filter("others", _likely)).alias("o"))
     return near.select(F.least("s", "o.s").alias("a"), F.greatest("s", "o.s").alias("b")).distinct()
 
 
+def _likely(o: Column) -> Column:
+    """Whether a member (columns s, c, n, b0, b1) may be near another one of other component."""
+    sizes = F.least("n", o["n"]) * 100 >= F.greatest("n", o["n"]) * PERCENT
+    different = F.lit(0)
+    for b in ("b0", "b1"):
+        bits = F.col(b).bitwiseXOR(o[b])
+        pairs = bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        different = different + F.bit_count(pairs)
+    return (F.col("c") != o["c"]) & sizes & (different <= MAX_DIFFERENT)
+
+
 def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     one = full.select(F.col("_set").alias("a"), F.col("_all").alias("x"))
     two = full.select(F.col("_set").alias("b"), F.col("_all").alias("y"))
@@ -157,17 +174,16 @@ def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     )
 
 
-def _branch(rows: DataFrame, stats: DataFrame) -> DataFrame:
+def _branch(rows: DataFrame, open_: DataFrame) -> DataFrame:
     """Members of the nodes that aren't done, in the children that their paths choose."""
-    chosen = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(POSITIONS)).cast("int")
-    again = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(POSITIONS)).cast("int")
-    more = F.pmod(F.xxhash64("node", F.lit("more")), F.lit(10_000)) < 10_000 * (100 / PERCENT - 1)
-    places = F.when(more & (again != chosen), F.array(chosen, again)).otherwise(F.array(chosen))
+    def child(j: int) -> Column:
+        token = [F.pmod(F.xxhash64("node", F.lit(i)), F.lit(POSITIONS)) for i in range(STEP * j, STEP * j + STEP)]
+        parts = [x for p in token for x in (p, F.get("t", p.cast("int")))]
+        return F.xxhash64("node", F.lit(j), *parts)
+
     return (
-        rows.join(stats.filter(F.col("rest") > LEAF).select("node"), "node")
-        .withColumn("p", F.explode(places))
-        .withColumn("node", F.xxhash64("node", "p", F.get("t", F.col("p"))))
-        .drop("p")
+        rows.join(open_.select("node"), "node")
+        .withColumn("node", F.explode(F.array(*[child(j) for j in range(CHILDREN)])))
     )
 
 
@@ -202,7 +218,7 @@ def _label(sets: DataFrame, full, space: Workspace) -> DataFrame | None:
         )
         links = space.save(_confirmed(_candidates(rows, stats, level), full), "links")
         labels = _merge(labels, links, space)
-        open_ = stats.filter(F.col("rest") > LEAF)
+        open_ = stats.filter(_large(level))
         if open_.isEmpty():
             return labels
         grown = _branch(nodes.join(member.select("s", "t"), "s"), open_).select("node", "s")

@@ -54,7 +54,7 @@ def test_same_as_all_pairs(spark, sample):
     check(edges.frame(spark), [r[:2] for r in edges.documents()])
 
 
-@pytest.mark.parametrize("leaf", [2, 32])
+@pytest.mark.parametrize("leaf", [(2, 4), (32, 1024)])
 def test_chains_and_large_groups(spark, monkeypatch, leaf):
     """A group of near copies larger than a leaf, a chain, and documents around the threshold."""
     monkeypatch.setattr(near_dedup, "LEAF", leaf)
