@@ -14,6 +14,7 @@ from keylink.llm.mixing import mix
 from keylink.llm.near_dedup import near_duplicates
 from keylink.llm.packing import pack
 from keylink.llm.quality import quality
+from keylink.llm.substring_dedup import drop_repeated_words
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -52,6 +53,13 @@ def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return drop_repeated_words(docs, with_text=False).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256"
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_frequency": op3_line_frequency,
     "op4_pack": op4_pack,
     "op6_poisson_mix": op6_poisson_mix,
+    "op8_de_bruijn": op8_de_bruijn,
     "op9_simhash": op9_simhash,
 }
 
