@@ -15,6 +15,7 @@ from keylink.llm.near_dedup import near_duplicates
 from keylink.llm.packing import pack
 from keylink.llm.quality import quality
 from keylink.llm.substring_dedup import drop_repeated_words
+from keylink.llm.suffix_index import drop_repeated_bytes
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -64,6 +65,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return drop_repeated_bytes(docs, with_text=False).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chosen_path": op1_chosen_path,
     "op3_line_frequency": op3_line_frequency,
@@ -71,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_poisson_mix": op6_poisson_mix,
     "op8_de_bruijn": op8_de_bruijn,
     "op9_simhash": op9_simhash,
+    "op10_suffix_levels": op10_suffix_levels,
 }
 
 ORACLES: dict[str, str] = {
