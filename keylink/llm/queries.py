@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keylink.llm.fingerprints import compare_with_edits
 from keylink.llm.mixing import mix
 from keylink.llm.near_dedup import near_duplicates
 from keylink.llm.packing import pack
+from keylink.llm.pii import find_personal, spans_text
 from keylink.llm.quality import quality
 from keylink.llm.substring_dedup import drop_repeated_words
 from keylink.llm.suffix_index import drop_repeated_bytes
@@ -54,6 +56,15 @@ def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(spans_text(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return drop_repeated_words(docs, with_text=False).select(
@@ -77,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_frequency": op3_line_frequency,
     "op4_pack": op4_pack,
     "op6_poisson_mix": op6_poisson_mix,
+    "op7_boosted_pii": op7_boosted_pii,
     "op8_de_bruijn": op8_de_bruijn,
     "op9_simhash": op9_simhash,
     "op10_suffix_levels": op10_suffix_levels,
