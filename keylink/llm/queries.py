@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keylink.llm.chat import link_quotes
 from keylink.llm.fingerprints import compare_with_edits
+from keylink.llm.html_text import extract_text
 from keylink.llm.mixing import mix
 from keylink.llm.near_dedup import near_duplicates
 from keylink.llm.packing import pack
@@ -39,6 +41,10 @@ def op1_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), with_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -52,6 +58,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -85,8 +95,10 @@ def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chosen_path": op1_chosen_path,
+    "op2_quotation_links": op2_quotation_links,
     "op3_line_frequency": op3_line_frequency,
     "op4_pack": op4_pack,
+    "op5_block_tree": op5_block_tree,
     "op6_poisson_mix": op6_poisson_mix,
     "op7_boosted_pii": op7_boosted_pii,
     "op8_de_bruijn": op8_de_bruijn,
