@@ -36,7 +36,8 @@ from keylink.sources.workspace import Workspace
 WINDOW = 100
 ANCHOR = 24
 BATCHES = 4
-HOT = 1000
+# Pieces of one beginning that a task compares: with their windows about 120 MB.
+HOT = 50_000
 _RANGES = "_doc long, _anchor long, _range long, _from int, _n int"
 
 

@@ -36,7 +36,7 @@ def test_same_as_brute_force(spark, sample):
     check(spark.read.parquet(f"{sample}/documents.parquet"))
 
 
-@pytest.mark.parametrize("hot", [1, 1000])
+@pytest.mark.parametrize("hot", [1, 50_000])
 def test_awkward_texts(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_index, "HOT", hot)
     check(edges.frame(spark, seed=4))
