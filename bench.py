@@ -28,7 +28,6 @@ HEADLINE = (
     "relations_ascii",
     "relations_mysql_types",
     "relations_sampled",
-    "bloom_relations",
     "relation_replace",
 )
 

@@ -457,7 +457,6 @@ QUERIES = {
     "inclusion_misses": inclusion_misses,
     "orphan_rows": _one_pair(inclusion.orphan_rows),
     "matched_rows": _one_pair(inclusion.matched_rows),
-    "bloom_relations": _relations_query(U(), membership="bloom"),
     **{name: _relations_query(params) for name, params in RELATIONS.items()},
     **{
         f"{name}_staged": _relations_query(RELATIONS[name], strategy="staged")

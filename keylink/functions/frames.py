@@ -37,6 +37,14 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return level[0]
 
 
+def fresh_name(name: str, columns: Sequence[str]) -> str:
+    """``name``, lengthened until no column bears it in any case."""
+    taken = {column.lower() for column in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def md5_of(columns: Sequence[Column], separator: str = "|") -> Column:
     """md5 over several columns; a NULL is told apart from an empty text."""
     parts = [F.coalesce(column.cast("string"), F.lit("\\N")) for column in columns]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keylink.functions.canonical import family, join_key, native_value
+from keylink.functions.frames import fresh_name
 from keylink.params import FIXED_RATIO_BASE
 
 
@@ -106,7 +107,6 @@ def _probe_one(fk_frame, fk, pk_frame, pk, how) -> DataFrame:
     form = native_value if family(fk_type) == family(pk_type) else join_key
     # The key side is unique, so a hot value repeats on the left side only,
     # where the adaptive skew join can split it.
-    keys = pk_frame.select(F.expr(form(pk, pk_type)).alias("_key"))
-    return fk_frame.withColumn("_key", F.expr(form(fk, fk_type))).join(keys, "_key", how).drop(
-        "_key"
-    )
+    name = fresh_name("_key", fk_frame.columns)
+    keys = pk_frame.select(F.expr(form(pk, pk_type)).alias(name))
+    return fk_frame.withColumn(name, F.expr(form(fk, fk_type))).join(keys, name, how).drop(name)

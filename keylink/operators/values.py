@@ -18,7 +18,7 @@ from keylink.functions.canonical import (
     quoted,
     rendered,
 )
-from keylink.functions.frames import md5_of, union_all
+from keylink.functions.frames import fresh_name, md5_of, union_all
 from keylink.sources.catalog import ColumnInfo, Source
 from keylink.sources.workspace import Workspace
 
@@ -151,11 +151,12 @@ def column_sample(
         for item in frame.schema.fields
         if item.name not in names and family(item.dataType) is not None
     ]
-    ranked = frame.withColumn("_h", md5_of([F.col(quoted(n)) for n in names]))
+    order = fresh_name("_h", frame.columns)
+    ranked = frame.withColumn(order, md5_of([F.col(quoted(n)) for n in names]))
     if total is not None and workspace is not None and total > 4 * rows:
         share = (rows + 6 * rows**0.5 + 50) / total
         cut = f"{int(2**32 * min(share, 1 - 2**-32)):08x}"
-        low = workspace.save(ranked.filter(F.col("_h") < cut), "sample")
+        low = workspace.save(ranked.filter(F.col(order) < cut), "sample")
         if low.count() >= rows:
             ranked = low
-    return ranked.orderBy("_h", *others).limit(rows).drop("_h")
+    return ranked.orderBy(order, *others).limit(rows).drop(order)

@@ -19,13 +19,11 @@ from pyspark.sql import types as T
 
 from keylink.functions.canonical import is_text, join_key, quoted
 from keylink.functions.frames import metadata_frame, union_all
-from keylink.operators.bloom import bloom_key_sets
 from keylink.operators.candidates import candidate_pairs, classify
 from keylink.operators.gates import column_name_gate, column_type_gate, table_gate, value_gate
 from keylink.operators.inclusion import (
     accepted,
     hits_by_pair,
-    hits_of_key_sets,
     separate_rows,
     shared_rows,
     with_miss_ratio,
@@ -56,7 +54,6 @@ PEEK_VALUES_IN_ALL = 500_000
 STAGED_FROM_CELLS = 100_000_000
 
 STRATEGIES = ("auto", "staged", "oneshot")
-MEMBERSHIPS = ("exact", "bloom")
 
 _COUNTS_SCHEMA = T.StructType(
     [
@@ -83,7 +80,6 @@ def discover(
     params: Params | None = None,
     workspace: Workspace | None = None,
     strategy: str = "auto",
-    membership: str = "exact",
 ) -> DataFrame:
     """Relations of ``source`` as a 13-column DataFrame.
 
@@ -92,8 +88,8 @@ def discover(
     ``oneshot`` counts all columns at once.  Both give the same rows; ``auto``
     goes by the number of cells.
     """
-    if strategy not in STRATEGIES or membership not in MEMBERSHIPS:
-        raise ValueError(f"strategy is one of {STRATEGIES}, membership of {MEMBERSHIPS}")
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy is one of {STRATEGIES}")
     params = params or Params()
     run = _Run(spark, source, params, workspace or Workspace(spark))
     run.gate_tables_and_columns()
@@ -107,7 +103,7 @@ def discover(
         run.count_samples()
     else:
         run.count_references(prune)
-    return run.relations(run.hits(membership))
+    return run.relations(run.hits())
 
 
 @dataclass
@@ -359,15 +355,11 @@ class _Run:
             if row["fk"] and passed and self.may_refer(c):
                 self.fks.append(c.cid)
 
-    def hits(self, membership: str) -> DataFrame | None:
+    def hits(self) -> DataFrame | None:
         """``fk, pk, hits`` of all candidate columns."""
         if not self.fks or not self.pks:
             return None
         keys = self.key_counts.select("cid", "v", "cnt")
-        if membership == "bloom":
-            largest = max(self.distinct[cid] for cid in self.pks)
-            sets = bloom_key_sets(self.fk_counts, self.fks, keys, self.pks, largest)
-            return hits_of_key_sets(sets)
         if self.params.sample_rows is not None:
             return hits_by_pair(separate_rows(self.fk_counts, self.fks, keys, self.pks))
         return hits_by_pair(shared_rows(self.fk_counts, self.fks, self.pks))

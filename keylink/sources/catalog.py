@@ -238,17 +238,12 @@ def open_tables(
 
 
 def list_file_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> list[str]:
-    """Names of the tables below ``path``; the listing itself is a Spark job."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*.{fmt}")
-        .load(path)
-        .select(F.regexp_extract("path", rf"/([^/]+)\.{fmt}(/[^/]+)?$", 1).alias("table_name"))
-        .filter("table_name <> ''")
-        .distinct()
-    )
-    return sorted(row["table_name"] for row in listing.collect())
+    """Names of the tables at ``path``: its files and folders called ``<name>.<fmt>``, however deep
+    their own files lie. Only this one level is listed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return sorted(n.removesuffix(f".{fmt}") for n in names if n.endswith(f".{fmt}") and n != f".{fmt}")
 
 
 def spark_catalog_source(

@@ -170,3 +170,13 @@ def test_command_line(spark, tmp_path, capsys):
     store = ResultStore(spark, str(tmp_path / "out"))
     assert {(r["table2"], r["table1"]) for r in store.previous("m").collect()} == {("f", "k")}
     assert store.statuses().first()["algorithm_name"] == "links"
+
+
+def test_partitioned_folder_plain_folder_and_file_are_three_tables(spark, tmp_path):
+    frame = spark.range(6).selectExpr("id", "id % 2 AS p")
+    frame.write.partitionBy("p").parquet(f"{tmp_path}/orders.parquet")
+    frame.write.parquet(f"{tmp_path}/plain.parquet")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/other")
+    part = next((tmp_path / "other").glob("part-*.parquet"))
+    (tmp_path / "single.parquet").write_bytes(part.read_bytes())
+    assert catalog.list_file_tables(spark, str(tmp_path)) == ["orders", "plain", "single"]

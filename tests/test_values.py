@@ -165,3 +165,12 @@ def test_decimal_join_key_without_ansi(spark):
     finally:
         spark.conf.unset("spark.sql.ansi.enabled")
     assert got == ["0", "0.0000001"]
+
+
+def test_helper_columns_never_clash(table):
+    from keylink.operators.inclusion import matched_rows
+    from keylink.operators.values import column_sample
+
+    frame = table("_h string, _key long", [("a", 1), ("b", 2), ("c", 3)])
+    assert column_sample(frame, 2).columns == ["_h", "_key"]
+    assert matched_rows(frame, "_key", table("k long", [(2,)]), "k").collect()[0]["_h"] == "b"
