@@ -29,16 +29,15 @@ def terms(text: Column) -> Column:
     """array<struct<h, w>> of a text's terms."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
 
-    def term(word: Column, i: Column) -> Column:
-        following = F.get(words, i + 1)
+    def term(word: Column, following: Column) -> Column:
         weight = F.least(F.length(word), F.lit(16)) + F.coalesce(
             F.least(F.length(following), F.lit(16)), F.lit(0)
         )
         return F.struct(F.xxhash64(word, following).alias("h"), weight.cast("long").alias("w"))
 
-    pairs = F.transform(words, term)
-    n = F.size(words)
-    return F.when(n > 1, F.slice(pairs, 1, F.greatest(n - 1, F.lit(1)))).otherwise(pairs)
+    # The words are an argument, never part of the function: that is run for every word.
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), term)
+    return F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(1)))
 
 
 def votes(frame: DataFrame, keys: list[str]) -> DataFrame:
