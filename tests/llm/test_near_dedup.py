@@ -2,6 +2,7 @@ import random
 import re
 
 import edges
+import numpy as np
 import pytest
 from keylink.llm import near_dedup
 from keylink.llm.components import components
@@ -104,3 +105,17 @@ def test_components(spark):
         for u, v in links:
             label[u] = label[v] = min(label[u], label[v])
     assert found == {n: m for n, m in label.items() if n != m}
+
+
+def test_odd_sketches_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for common, own in ((0, 1), (40, 5), (300, 60), (3000, 400)):
+        parts = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in (common, own, own // 2)]
+        sets = [np.concatenate([parts[0], x]) for x in (*parts[1:], parts[0][:0])]
+        sketches = near_dedup._odd_sketch(np.concatenate(sets), np.array([len(x) for x in sets]))
+        a, b, c = sketches.reshape(3, near_dedup.SKETCH)
+        apart = lambda x, y: sum(int(z).bit_count() for z in x ^ y)
+        assert apart(a, b) <= own + own // 2
+        assert apart(a, c) <= own
+        assert apart(a, a) == 0
+    assert len(near_dedup._odd_sketch(sets[0][:0], np.zeros(2, dtype=np.int64))) == 2 * near_dedup.SKETCH
