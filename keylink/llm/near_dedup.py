@@ -4,17 +4,18 @@ A document's set are its distinct five-word shingles; equal sets are one class f
 class has minwise tokens at ``POSITIONS`` positions. ``TREES`` independent trees split the classes
 by the token at a chosen position. A node is compared exhaustively once all but ``LEAF`` of its
 classes belong to one component: those few against all. Any other node compares its members with
-``PIVOTS`` pivots, and branches again: eight levels of the path at once, by the tokens at
-``STEP`` positions that the path selects, into (1/threshold)^8 or 4 children, so that a pair at the
-threshold is expected in one. Nodes that lie in one component are done, which is what ends large
-groups of near copies in linear work. Pairs are screened by their sizes and by two bits of each
+``PIVOTS`` pivots first. Nodes that then lie in one component are done, which is what ends large
+groups of near copies in linear work; those with few others left are compared exhaustively. Only
+the rest branch again: four levels of the path at once, by the tokens at ``STEP`` positions that the
+path selects, into (1/threshold)^4 or 2 children, so that a pair at the threshold is expected in
+one. Pairs are screened by their sizes and by two bits of each
 minwise token, below the root by an odd sketch as well, then confirmed on the full sets. An odd
 sketch has the parity of the shingles that hash to each bit; two of them differ in as many bits as
 the sets differ in shingles at most, so it never drops a link.
 
 A pair at 85 % is missed by the root's split of all 12 trees with a chance of 0.15^12 = 1e-10. In a
-large node it reaches a common child in 0.72 of the trees, so by the root and one step it is missed
-with (1 - 0.85 * 0.72)^12 = 1e-5, at 90 % with 1e-8. The bit screen drops it with about 1e-8.
+large node it reaches a common child in 0.77 of the trees, so by the root and one step it is missed
+with (1 - 0.85 * 0.77)^12 = 4e-6, at 90 % with 1e-9. The bit screen drops it with about 1e-8.
 
 Defined results: null, empty or wordless texts have no shingles and link with nothing; a row with a
 null id links with nothing, has a null component and stays; repeated rows share a component, of
@@ -42,9 +43,9 @@ POSITIONS = 64
 # Small at the root; below it pivots have joined most of a large node, and few pairs are left to see.
 LEAF = (32, 256)
 PIVOTS = 8
-# A step below the root takes this many positions at once, and so many children: (1/0.85)^8.
-STEP = 8
-CHILDREN = 4
+# A step below the root takes this many positions at once, and so many children: (1/0.85)^4.
+STEP = 4
+CHILDREN = 2
 # Of 64 pairs of bits a pair at the threshold differs in 7.2 on average, with a deviation of 2.5.
 MAX_DIFFERENT = 24
 # Longs of an odd sketch. It parts sets of up to about 1,500 shingles; larger ones it lets pass.
@@ -198,6 +199,27 @@ def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     )
 
 
+def _stats(rows: DataFrame) -> DataFrame:
+    """(node, main, rest) of the nodes that hold more than one component: the one with most of their
+    members, and how many belong to others. Counted by component before the shuffle."""
+    held = rows.groupBy("node", "c").agg(F.count("*").alias("k"))
+    return (
+        held.groupBy("node")
+        .agg(F.sum("k").alias("all"), F.max("k").alias("most"), F.max_by("c", "k").alias("main"))
+        .select("node", "main", (F.col("all") - F.col("most")).alias("rest"))
+        .filter("rest > 0")
+    )
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with the component c of their sets."""
+    if labels is None:
+        return rows.withColumn("c", F.col("s"))
+    found = labels.select(F.col("s").alias("s2"), F.col("c").alias("c2"))
+    rows = rows.join(found, F.col("s") == F.col("s2"), "left")
+    return rows.withColumn("c", F.coalesce("c2", "s")).drop("s2", "c2")
+
+
 def _branch(rows: DataFrame, open_: DataFrame) -> DataFrame:
     """Members of the nodes that aren't done, in the children that their paths choose."""
     def child(j: int) -> Column:
@@ -226,30 +248,21 @@ def _label(sets: DataFrame, full, space: Workspace) -> DataFrame | None:
     full = full(nodes.select("s").distinct())
     labels, level = None, 0
     while True:
-        rows = nodes.join(member if level == 0 else member.drop("t"), "s")
-        if level == 0:
-            rows = rows.drop("t", "odd").withColumn("c", F.col("s"))
-        else:
-            rows = rows.join(labels.withColumnRenamed("s", "s2"), F.col("s") == F.col("s2"), "left")
-            rows = rows.withColumn("c", F.coalesce("c", "s")).drop("s2")
-        # what every node holds of each component, counted before the shuffle
-        held = rows.groupBy("node", "c").agg(F.count("*").alias("k"))
-        stats = space.save(
-            held.groupBy("node")
-            .agg(F.sum("k").alias("all"), F.max("k").alias("most"), F.max_by("c", "k").alias("main"))
-            .select("node", "main", (F.col("all") - F.col("most")).alias("rest"))
-            .filter("rest > 0"),
-            "stats",
-        )
+        # odd sketches are for the few pairs below the root, tokens for branching alone
+        rows = _labelled(nodes.join(member.drop("t", "odd") if level == 0 else member.drop("t"), "s"), labels)
+        stats = space.save(_stats(rows), "stats")
         links = space.save(_confirmed(_candidates(rows, stats, level), full), "links")
         labels = _merge(labels, links, space)
-        open_ = stats.filter(_large(level))
-        if open_.isEmpty():
+        # what pivots have left of the large nodes
+        large = nodes.join(stats.filter(_large(level)).select("node"), "node")
+        left = space.save(_stats(_labelled(large, labels)).select("node", "rest"), "left")
+        if left.isEmpty():
             return labels
-        grown = _branch(nodes.join(member.select("s", "t"), "s"), open_).select("node", "s")
-        lonely = grown.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
-        nodes = space.save(grown.join(lonely, "node"), "nodes")
         level += 1
+        ready = nodes.join(left.filter(~_large(level)).select("node"), "node").select("node", "s")
+        grown = _branch(nodes.join(member.select("s", "t"), "s"), left.filter(_large(level))).select("node", "s")
+        lonely = grown.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
+        nodes = space.save(ready.union(grown.join(lonely, "node")), "nodes")
 
 
 def _merge(labels: DataFrame | None, links: DataFrame, space: Workspace) -> DataFrame:
