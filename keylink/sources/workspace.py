@@ -20,12 +20,30 @@ class Workspace:
         self.spark = spark
         self.root = f"{root or shared_folder(spark)}/keylink-{uuid.uuid4().hex}"
         self._numbers = itertools.count(1)
+        self._saved: list[tuple[DataFrame, str]] = []
 
     def save(self, frame: DataFrame, name: str) -> DataFrame:
         """Writes ``frame`` once and returns it as read back."""
         path = f"{self.root}/{next(self._numbers):04d}-{name}"
         frame.write.parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        saved = self.spark.read.schema(frame.schema).parquet(path)
+        self._saved.append((saved, path))
+        return saved
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Removes tables that ``save`` returned and that no later job reads."""
+        for path in [p for saved, p in self._saved if any(saved is f for f in frames)]:
+            self._remove(path)
+        self._saved = [x for x in self._saved if not any(x[0] is f for f in frames)]
+
+    def clear(self) -> None:
+        """Removes all tables."""
+        self._saved = []
+        self._remove(self.root)
+
+    def _remove(self, path: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
