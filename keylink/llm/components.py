@@ -37,9 +37,12 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
     """(u, v): for each node of an edge (columns u and v) other than the least of its component,
     that least node."""
     edges = edges.filter("u <> v").select("u", "v")
-    mark = None
+    mark = before = None
     while True:
         edges = space.save(_small_star(_large_star(edges)), "stars")
+        if before is not None:
+            space.drop(before)
+        before = edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(now) == mark:
             return edges

@@ -256,13 +256,17 @@ def _label(sets: DataFrame, full, space: Workspace) -> DataFrame | None:
         # what pivots have left of the large nodes
         large = nodes.join(stats.filter(_large(level)).select("node"), "node")
         left = space.save(_stats(_labelled(large, labels)).select("node", "rest"), "left")
+        space.drop(stats, links)
         if left.isEmpty():
+            space.drop(nodes, full, left)
             return labels
         level += 1
         ready = nodes.join(left.filter(~_large(level)).select("node"), "node").select("node", "s")
         grown = _branch(nodes.join(member.select("s", "t"), "s"), left.filter(_large(level))).select("node", "s")
         lonely = grown.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
-        nodes = space.save(ready.union(grown.join(lonely, "node")), "nodes")
+        grown = space.save(ready.union(grown.join(lonely, "node")), "nodes")
+        space.drop(nodes, left)
+        nodes = grown
 
 
 def _merge(labels: DataFrame | None, links: DataFrame, space: Workspace) -> DataFrame:
@@ -286,10 +290,10 @@ def _merge(labels: DataFrame | None, links: DataFrame, space: Workspace) -> Data
 
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = True,
-    one_row: bool = False,
+    one_row: bool = False, space: Workspace | None = None,
 ) -> DataFrame:
     """Every row with ``n_shingles``, ``component_id`` (the least id of its group) and ``kept``."""
-    space = Workspace(docs.sparkSession)
+    space = space or Workspace(docs.sparkSession)
     out = ("n_shingles", "component_id", "kept")
     own = [c for c in docs.columns if c not in out and (with_text or c != text)]
     plain = docs.select(
@@ -318,6 +322,7 @@ def near_duplicates(
         )
 
     labels = _label(sets, full, space)
+    space.drop(sets)
     # classes with the least id of each, then of each component
     classes = linked.groupBy("_set").agg(F.min("_key").alias("_least"))
     named = classes.join(labels.withColumnsRenamed({"s": "_s", "c": "_c"}), F.expr("_set = _s"), "left")

@@ -214,6 +214,7 @@ def pack(
     end_id: int = END_ID,
     text: str = "text",
     with_ids: bool = True,
+    space: Workspace | None = None,
 ) -> DataFrame:
     """Per piece: the input columns without the text, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and, with_ids, the ids themselves. ``tokenizer`` is a file's path."""
@@ -226,7 +227,7 @@ def pack(
     )
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
     spec += ", start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    pieces = Workspace(docs.sparkSession).save(
+    pieces = (space or Workspace(docs.sparkSession)).save(
         plain.mapInArrow(_tokenize(tokenizer, limit, end_id, with_ids), spec), "pieces"
     )
     rows = pieces.groupBy("length").count().collect()  # at most `limit` rows

@@ -233,10 +233,12 @@ def _numbered(docs: DataFrame, text: str, own: list[str]) -> DataFrame:
     )
 
 
-def find_personal(docs: DataFrame, text: str = "text", with_text: bool = True) -> DataFrame:
+def find_personal(
+    docs: DataFrame, text: str = "text", with_text: bool = True, space: Workspace | None = None
+) -> DataFrame:
     """Every row with n_email, n_ip, n_card, n_phone, ``spans`` (array of kind, begin, end, base by
     begin) and, with_text, ``redacted``: the text with [KIND] in place of each span."""
-    space = Workspace(docs.sparkSession)
+    space = space or Workspace(docs.sparkSession)
     out = ["n_email", "n_ip", "n_card", "n_phone", "spans"] + ["redacted"] * with_text
     own = [c for c in docs.columns if c not in out and (with_text or c != text)]
     rows = space.save(_numbered(docs, text, own), "rows")

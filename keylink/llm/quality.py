@@ -149,6 +149,7 @@ def quality(
     text: str = "text",
     host: str = "source",
     with_text: bool = True,
+    space: Workspace | None = None,
 ) -> DataFrame:
     """Every row with its counts, ``base_failed``, ``kept`` and, with_text, ``clean_text``.
 
@@ -159,7 +160,7 @@ def quality(
     own = [c for c in docs.columns if c != text and c not in out]
     if with_text:
         own.append(text)
-    space = Workspace(docs.sparkSession)
+    space = space or Workspace(docs.sparkSession)
     # the columns travel under numbers, so that no name of theirs can clash with a name used here
     plain = docs.select(
         *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)],
