@@ -211,13 +211,13 @@ def _stats(rows: DataFrame) -> DataFrame:
     )
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows with the component c of their sets."""
+def _labelled(member: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Sets, one row each, with their component c."""
     if labels is None:
-        return rows.withColumn("c", F.col("s"))
+        return member.withColumn("c", F.col("s"))
     found = labels.select(F.col("s").alias("s2"), F.col("c").alias("c2"))
-    rows = rows.join(found, F.col("s") == F.col("s2"), "left")
-    return rows.withColumn("c", F.coalesce("c2", "s")).drop("s2", "c2")
+    member = member.join(found, F.col("s") == F.col("s2"), "left")
+    return member.withColumn("c", F.coalesce("c2", "s")).drop("s2", "c2")
 
 
 def _branch(rows: DataFrame, open_: DataFrame) -> DataFrame:
@@ -249,13 +249,14 @@ def _label(sets: DataFrame, full, space: Workspace) -> DataFrame | None:
     labels, level = None, 0
     while True:
         # odd sketches are for the few pairs below the root, tokens for branching alone
-        rows = _labelled(nodes.join(member.drop("t", "odd") if level == 0 else member.drop("t"), "s"), labels)
+        rows = nodes.join(_labelled(member.drop("t", "odd") if level == 0 else member.drop("t"), labels), "s")
         stats = space.save(_stats(rows), "stats")
         links = space.save(_confirmed(_candidates(rows, stats, level), full), "links")
         labels = _merge(labels, links, space)
         # what pivots have left of the large nodes
         large = nodes.join(stats.filter(_large(level)).select("node"), "node")
-        left = space.save(_stats(_labelled(large, labels)).select("node", "rest"), "left")
+        known = _labelled(member.select("s"), labels)
+        left = space.save(_stats(large.join(known, "s")).select("node", "rest"), "left")
         space.drop(stats, links)
         if left.isEmpty():
             space.drop(nodes, full, left)
