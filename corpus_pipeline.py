@@ -21,6 +21,8 @@ from keylink.llm.quality import quality
 from keylink.llm.queries import tokenizer_path
 from keylink.sources.workspace import Workspace
 
+# Word shingles that near duplicates share at least; op1_chosen_path has a contract of its own.
+NEAR_PERCENT = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -57,8 +59,9 @@ def quality_rules(docs: DataFrame, space: Workspace) -> DataFrame:
 
 @_stage
 def near_dedup(docs: DataFrame, space: Workspace) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return _documents(near_duplicates(docs, one_row=True, space=space).filter("kept"))
+    """One document of each group of near duplicates (80 % of their five-word shingles) stays."""
+    near = near_duplicates(docs, one_row=True, space=space, percent=NEAR_PERCENT)
+    return _documents(near.filter("kept"))
 
 
 @_stage

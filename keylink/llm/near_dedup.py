@@ -7,8 +7,8 @@ classes belong to one component: those few against all. Any other node compares
 ``PIVOTS`` pivots first. Nodes that then lie in one component are done, which is what ends large
 groups of near copies in linear work; those with few others left are compared exhaustively. Only
 the rest branch again: four levels of the path at once, by the tokens at ``STEP`` positions that the
-path selects, into (1/threshold)^4 or 2 children, so that a pair at the threshold is expected in
-one. Pairs are screened by their sizes and by two bits of each
+path selects, into (1/threshold)^4 children, 2 for 85 % and 3 for 80 %, so that a pair at the
+threshold is expected in one. Pairs are screened by their sizes and by two bits of each
 minwise token, below the root by an odd sketch as well, then confirmed on the full sets. An odd
 sketch has the parity of the shingles that hash to each bit; two of them differ in as many bits as
 the sets differ in shingles at most, so it never drops a link.
@@ -26,6 +26,7 @@ gives an empty table; all input columns stay but those that a result column of t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,10 @@ POSITIONS = 64
 # Small at the root; below it pivots have joined most of a large node, and few pairs are left to see.
 LEAF = (32, 256)
 PIVOTS = 8
-# A step below the root takes this many positions at once, and so many children: (1/0.85)^4.
+# A step below the root takes this many positions at once.
 STEP = 4
-CHILDREN = 2
-# Of 64 pairs of bits a pair at the threshold differs in 7.2 on average, with a deviation of 2.5.
-MAX_DIFFERENT = 24
+# The chance that the bit screen drops a pair at the threshold.
+SCREENED = 1e-8
 # Longs of an odd sketch. It parts sets of up to about 1,500 shingles; larger ones it lets pass.
 SKETCH = 8
 
@@ -56,6 +56,18 @@ _SALT = (ta.seeds(POSITIONS, 5000) >> np.uint64(32)).astype(_U32)
 _ODD = (ta.seeds(POSITIONS, 6000) >> np.uint64(32)).astype(_U32) | _U32(1)
 
 
+def _children(percent: int) -> int:
+    """Children of a node, so that a pair at the threshold is expected in one: 2 for 85, 3 for 80."""
+    return -(-(100**STEP) // percent**STEP)
+
+
+def _max_different(percent: int) -> int:
+    """How many pairs of bits may differ: 24 for 85, 28 for 80. Other tokens have equal bits in 1/4."""
+    q = 0.75 * (1 - percent / 100)
+    chance = [comb(POSITIONS, k) * q**k * (1 - q) ** (POSITIONS - k) for k in range(POSITIONS + 1)]
+    return next(k for k in range(POSITIONS + 1) if sum(chance[k + 1 :]) <= SCREENED)
+
+
 def _sets(c: ta.Chunk):
     """Distinct shingle hashes by document, in order: (values, number in each document)."""
     hashes, doc, _ = c.shingles(WORDS, c.word_hashes(lower=True), whole=True)
@@ -141,7 +153,7 @@ def _large(level: int) -> Column:
     return F.col("rest") > LEAF[min(level, 1)]
 
 
-def _candidates(rows: DataFrame, stats: DataFrame, level: int) -> DataFrame:
+def _candidates(rows: DataFrame, stats: DataFrame, level: int, percent: int) -> DataFrame:
     """Screened pairs (a, b) of one level. rows: node, s (set), c (component), n and bits."""
     few = stats.filter(~_large(level))
     many = stats.filter(_large(level))
@@ -165,36 +177,36 @@ def _candidates(rows: DataFrame, stats: DataFrame, level: int) -> DataFrame:
     )
     large = rows.join(pivots, F.col("node") == F.col("node2")).select(*rows.columns, "others")
     # screened inside the row, so that only pairs worth confirming become rows
-    near = small.union(large).select("s", F.explode(F.filter("others", likely)).alias("o"))
+    near = small.union(large).select("s", F.explode(F.filter("others", lambda o: likely(o, percent))).alias("o"))
     return near.select(F.least("s", "o.s").alias("a"), F.greatest("s", "o.s").alias("b")).distinct()
 
 
-def _likely(o: Column) -> Column:
+def _likely(o: Column, percent: int) -> Column:
     """Whether a member (columns s, c, n, b0, b1) may be near another one of other component."""
-    sizes = F.least("n", o["n"]) * 100 >= F.greatest("n", o["n"]) * PERCENT
+    sizes = F.least("n", o["n"]) * 100 >= F.greatest("n", o["n"]) * percent
     different = F.lit(0)
     for b in ("b0", "b1"):
         bits = F.col(b).bitwiseXOR(o[b])
         pairs = bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555))
         different = different + F.bit_count(pairs)
-    return (F.col("c") != o["c"]) & sizes & (different <= MAX_DIFFERENT)
+    return (F.col("c") != o["c"]) & sizes & (different <= _max_different(percent))
 
 
-def _likelier(o: Column) -> Column:
-    """The same with odd sketches: sets of n and m shingles at the threshold differ in 15/185 of n + m."""
+def _likelier(o: Column, percent: int) -> Column:
+    """The same with odd sketches: sets of n and m at 85 % differ in 15/185 of n + m, at 80 % in 20/180."""
     apart = F.aggregate(
         F.zip_with("odd", o["odd"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b
     )
-    return _likely(o) & (apart * (100 + PERCENT) <= (F.col("n") + o["n"]) * (100 - PERCENT))
+    return _likely(o, percent) & (apart * (100 + percent) <= (F.col("n") + o["n"]) * (100 - percent))
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     one = full.select(F.col("_set").alias("a"), F.col("_all").alias("x"))
     two = full.select(F.col("_set").alias("b"), F.col("_all").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(one, "a").join(two, "b").withColumn("i", shared)
-        .filter(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * PERCENT)
+        .filter(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent)
         .select("a", "b")
     )
 
@@ -220,7 +232,7 @@ def _labelled(member: DataFrame, labels: DataFrame | None) -> DataFrame:
     return member.withColumn("c", F.coalesce("c2", "s")).drop("s2", "c2")
 
 
-def _branch(rows: DataFrame, open_: DataFrame) -> DataFrame:
+def _branch(rows: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
     """Members of the nodes that aren't done, in the children that their paths choose."""
     def child(j: int) -> Column:
         token = [F.pmod(F.xxhash64("node", F.lit(i)), F.lit(POSITIONS)) for i in range(STEP * j, STEP * j + STEP)]
@@ -229,11 +241,11 @@ def _branch(rows: DataFrame, open_: DataFrame) -> DataFrame:
 
     return (
         rows.join(open_.select("node"), "node")
-        .withColumn("node", F.explode(F.array(*[child(j) for j in range(CHILDREN)])))
+        .withColumn("node", F.explode(F.array(*[child(j) for j in range(_children(percent))])))
     )
 
 
-def _label(sets: DataFrame, full, space: Workspace) -> DataFrame | None:
+def _label(sets: DataFrame, full, space: Workspace, percent: int) -> DataFrame | None:
     """(s, c): the component of every set that isn't its own, or None if there is no link."""
     member = sets.select(
         F.col("_set").alias("s"), F.col("n_shingles").cast("int").alias("n"),
@@ -251,7 +263,7 @@ def _label(sets: DataFrame, full, space: Workspace) -> DataFrame | None:
         # odd sketches are for the few pairs below the root, tokens for branching alone
         rows = nodes.join(_labelled(member.drop("t", "odd") if level == 0 else member.drop("t"), labels), "s")
         stats = space.save(_stats(rows), "stats")
-        links = space.save(_confirmed(_candidates(rows, stats, level), full), "links")
+        links = space.save(_confirmed(_candidates(rows, stats, level, percent), full, percent), "links")
         labels = _merge(labels, links, space)
         # what pivots have left of the large nodes
         large = nodes.join(stats.filter(_large(level)).select("node"), "node")
@@ -263,7 +275,7 @@ def _label(sets: DataFrame, full, space: Workspace) -> DataFrame | None:
             return labels
         level += 1
         ready = nodes.join(left.filter(~_large(level)).select("node"), "node").select("node", "s")
-        grown = _branch(nodes.join(member.select("s", "t"), "s"), left.filter(_large(level))).select("node", "s")
+        grown = _branch(nodes.join(member.select("s", "t"), "s"), left.filter(_large(level)), percent).select("node", "s")
         lonely = grown.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
         grown = space.save(ready.union(grown.join(lonely, "node")), "nodes")
         space.drop(nodes, left)
@@ -291,9 +303,11 @@ def _merge(labels: DataFrame | None, links: DataFrame, space: Workspace) -> Data
 
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: bool = True,
-    one_row: bool = False, space: Workspace | None = None,
+    one_row: bool = False, space: Workspace | None = None, percent: int = PERCENT,
 ) -> DataFrame:
-    """Every row with ``n_shingles``, ``component_id`` (the least id of its group) and ``kept``."""
+    """Every row with ``n_shingles``, ``component_id`` (the least id of its group) and ``kept``.
+
+    Sets are linked that share ``percent`` of their shingles or more."""
     space = space or Workspace(docs.sparkSession)
     out = ("n_shingles", "component_id", "kept")
     own = [c for c in docs.columns if c not in out and (with_text or c != text)]
@@ -322,7 +336,7 @@ def near_duplicates(
             "full",
         )
 
-    labels = _label(sets, full, space)
+    labels = _label(sets, full, space, percent)
     space.drop(sets)
     # classes with the least id of each, then of each component
     classes = linked.groupBy("_set").agg(F.min("_key").alias("_least"))

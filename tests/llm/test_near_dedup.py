@@ -119,3 +119,8 @@ def test_odd_sketches_differ_by_no_more_than_the_sets():
         assert apart(a, c) <= own
         assert apart(a, a) == 0
     assert len(near_dedup._odd_sketch(sets[0][:0], np.zeros(2, dtype=np.int64))) == 2 * near_dedup.SKETCH
+
+
+def test_percent_binds_links_and_screens():
+    assert [near_dedup._children(p) for p in (85, 80)] == [2, 3]
+    assert [near_dedup._max_different(p) for p in (85, 80)] == [24, 28]

@@ -1,3 +1,5 @@
+import random
+
 import edges
 from pyspark.sql import functions as F
 
@@ -28,3 +30,20 @@ def test_empty_documents(spark, tmp_path):
 
     edges.empty(spark).select(*p.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     assert p.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_dedup_links_pairs_from_80_percent(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    rows, expected = [], set()
+    # of two documents of 100 shingles, each has the same number of its own at the end
+    for pair, own in enumerate((11, 10, 9, 12, 14)):
+        shared = edges.words(rng, 104 - own, 10**6)
+        share = (100 - own) / (100 + own)
+        rows += [(2 * pair + i, f"{shared} {edges.words(rng, own, 10**6)}") for i in (0, 1)]
+        expected |= {2 * pair} if share >= 0.8 else {2 * pair, 2 * pair + 1}
+    assert expected == {0, 2, 4, 6, 7, 8, 9}
+    docs = edges.frame(spark, [(i, t, "en", "s", len(t), *edges.CLASH) for i, t in rows]).select(*p.COLUMNS)
+    got = dict(p.STAGES)["near_dedup"](spark, docs, "")
+    assert {r["doc_id"] for r in got.collect()} == expected
