@@ -1,9 +1,13 @@
 """Quality rules: lines that too many documents of a host share go, and depleted documents with them.
 
 Lines are normalised (ASCII lower case, one space between words, digits as 0) and hashed. For each
-host and line, *distinct* documents are counted; copies and near copies of a document count once,
-because a document is known by its least hashed five-word shingle. A line is above the limit if it
-is in at least ``min_docs`` documents and in at least ``max_share`` of those of its host.
+host and line, *distinct* documents are counted, known by a 128-bit hash of their whole text. Near
+copies count once as well: texts of a host that agree in a band of ``BAND`` minwise tokens of their
+five-word shingles are compared with the least text of that band, and linked if ``ALIKE`` of all 64
+tokens agree; components of links count as one document. Copies that share 95 % of their shingles
+agree in a band with 0.66, documents of which 90 % is a shared text (82 % of their shingles) pass
+the comparison with 1 %, so these count apart. A line is above the limit if it is in at least
+``min_docs`` documents and in at least ``max_share`` of those of its host.
 
 Defined results: a null or empty text has no lines and fails the base rules; a null host is a host;
 repeated rows are judged each on its own; an empty table gives an empty table; all input columns of
@@ -21,10 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keylink.llm import textarrays as ta
+from keylink.llm.components import components
+from keylink.llm.near_dedup import POSITIONS, _minwise, _sets
 from keylink.sources.workspace import Workspace
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+# Minwise tokens in a band, and how many of all POSITIONS near copies have in common at least.
+BAND = 8
+ALIKE = 60
 _DIGITS = ta.LOWER.copy()
 _DIGITS[ord("0") : ord("9") + 1] = ord("0")
 
@@ -40,7 +49,7 @@ class QualityRules:
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SCHEMA = ", ".join(f"{c} long" for c in _COUNTS) + (
-    ", _sketch long, _lines array<long>, _line_words array<int>"
+    ", _same binary, _tokens array<int>, _lines array<long>, _line_words array<int>"
 )
 
 
@@ -91,9 +100,10 @@ def _measure(c: ta.Chunk) -> dict[str, np.ndarray]:
     order = np.lexsort((raw, line_doc))
     repeats = (line_doc[order][1:] == line_doc[order][:-1]) & (raw[order][1:] == raw[order][:-1])
     dup = np.bincount(line_doc[order][1:][repeats], minlength=docs)
-    five, five_doc, _ = c.shingles(5, c.word_hashes(lower=True), whole=True)
-    sketch = np.full(docs, np.uint64(2**64 - 1))
-    np.minimum.at(sketch, five_doc, five)
+    same = np.zeros((docs, 2), dtype=np.uint64)
+    for which in range(2):
+        same[:, which] = ta.window_hashes(ta._BYTES[c.data], c.offsets[:-1], c.offsets[1:], which)
+    flat = same.tobytes()
     # each normalised line once per document, with the words of all its occurrences
     order = np.lexsort((normal, line_doc))
     d, h, w = line_doc[order], normal[order], count[order]
@@ -106,7 +116,8 @@ def _measure(c: ta.Chunk) -> dict[str, np.ndarray]:
         "n_symbols": _sums(SYMBOLS[c.data], byte_doc, docs),
         "n_dup_lines": dup,
         "n_repeat_words": _sums(covered, word_doc, docs),
-        "_sketch": sketch.view(np.int64),
+        "_same": [flat[16 * i : 16 * i + 16] for i in range(docs)],
+        "_tokens": _minwise(*_sets(c))[0].ravel().view(np.int32),
         "lines": h[at_new].view(np.int64),
         "line_words": np.add.reduceat(w, at_new) if len(at_new) else w[:0],
         "line_count": np.bincount(d[at_new], minlength=docs),
@@ -118,22 +129,71 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for c in ta.chunks(batch.column(batch.num_columns - 1)):
             m = _measure(c)
             own = [batch.column(i)[c.lo : c.hi] for i in range(batch.num_columns - 1)]
-            cols = [pa.array(m[k], pa.int64()) for k in (*_COUNTS, "_sketch")]
+            cols = [pa.array(m[k], pa.int64()) for k in _COUNTS]
             cols += [
+                pa.array(m["_same"], pa.binary()),
+                ta.lists(m["_tokens"], np.full(c.hi - c.lo, POSITIONS), pa.int32()),
                 ta.lists(m["lines"], m["line_count"], pa.int64()),
                 ta.lists(m["line_words"].astype(np.int32), m["line_count"], pa.int32()),
             ]
-            names = [*batch.schema.names[:-1], *_COUNTS, "_sketch", "_lines", "_line_words"]
+            names = [*batch.schema.names[:-1], *_COUNTS, "_same", "_tokens", "_lines", "_line_words"]
             yield pa.RecordBatch.from_arrays([*own, *cols], names)
 
 
-def _frequent(measured: DataFrame, rules: QualityRules) -> DataFrame:
+def _distinct(measured: DataFrame, space: Workspace) -> DataFrame:
+    """(_host, _same, _doc): the distinct texts of each host, near copies under one _doc."""
+    own = F.concat(F.coalesce(F.concat(F.lit("h"), F.col("_host")), F.lit("n")), F.lit("|"), F.hex("_same"))
+    texts = space.save(
+        measured.groupBy("_host", "_same")
+        .agg(F.first("_tokens").alias("_tokens"), F.max("n_words").alias("n_words"))
+        .withColumn("_own", F.unhex(F.md5(own))),
+        "texts",
+    )
+    bands = [
+        F.xxhash64(F.coalesce(F.concat(F.lit("h"), F.col("_host")), F.lit("n")), F.lit(i), F.slice("_tokens", i + 1, BAND))
+        for i in range(0, POSITIONS, BAND)
+    ]
+    member = texts.filter("n_words > 0").select("_own", F.explode(F.array(*bands)).alias("_node"))
+    pivots = (
+        member.groupBy("_node").agg(F.min("_own").alias("_pivot"), F.count("*").alias("_k"))
+        .filter("_k > 1").select(F.col("_node").alias("_node2"), "_pivot")
+    )
+    pairs = (
+        member.join(pivots, F.col("_node") == F.col("_node2")).filter("_own <> _pivot")
+        .select("_own", "_pivot").distinct()
+    )
+    tokens = texts.select(F.col("_own").alias("_o2"), F.col("_tokens").alias("_y"))
+    agree = F.size(F.filter(F.zip_with("_x", "_y", lambda x, y: x == y), lambda same: same))
+    links = (
+        pairs.join(tokens.withColumnsRenamed({"_o2": "_o1", "_y": "_x"}), F.col("_own") == F.col("_o1"))
+        .join(tokens, F.col("_pivot") == F.col("_o2"))
+        .filter(agree >= ALIKE)
+        .select(F.col("_own").alias("u"), F.col("_pivot").alias("v"))
+    )
+    joined = components(space.save(links, "links"), space)
+    return texts.join(joined, F.col("_own") == F.col("u"), "left").select(
+        "_host", "_same", F.coalesce("v", "_own").alias("_doc")
+    )
+
+
+def _frequent(measured: DataFrame, rules: QualityRules, space: Workspace) -> DataFrame:
     """(host, line) above the limits. Copies are merged before any shuffle by line."""
-    seen = measured.select("_host", "_sketch", F.explode("_lines").alias("_line")).distinct()
-    hosts = (
-        measured.select("_host", "_sketch").distinct()
-        .groupBy("_host").agg(F.count("*").alias("_docs"))
+    known = space.save(_distinct(measured, space), "known")
+    lines = measured.select("_host", "_same", F.explode("_lines").alias("_line")).distinct()
+    # merging near copies only lowers a count
+    maybe = (
+        lines.groupBy("_host", "_line").agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") >= rules.min_docs).select(F.col("_host").alias("_h2"), F.col("_line").alias("_l2"))
+    )
+    lines = lines.join(
+        maybe, (F.col("_line") == F.col("_l2")) & F.col("_host").eqNullSafe(F.col("_h2")), "left_semi"
+    )
+    docs = known.select(F.col("_host").alias("_h3"), F.col("_same").alias("_s3"), "_doc")
+    seen = (
+        lines.join(docs, (F.col("_same") == F.col("_s3")) & F.col("_host").eqNullSafe(F.col("_h3")))
+        .select("_host", "_doc", "_line").distinct()
     )
+    hosts = known.select("_host", "_doc").distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
     counts = seen.groupBy("_host", "_line").agg(F.count("*").alias("_n"))
     often = counts.filter(F.col("_n") >= rules.min_docs)
     return (
@@ -170,7 +230,7 @@ def quality(
     )
     ahead = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
     measured = space.save(plain.mapInArrow(_measure_batches, f"{ahead}, {_SCHEMA}"), "measured")
-    often = _frequent(measured, rules)
+    often = _frequent(measured, rules, space)
     pairs = measured.select(
         "_row", "_host", F.explode(F.arrays_zip("_lines", "_line_words")).alias("_l")
     ).select("_row", "_host", F.col("_l._lines").alias("_line"), F.col("_l._line_words").alias("_w"))

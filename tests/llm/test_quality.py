@@ -88,3 +88,18 @@ def test_depleted_documents_are_rejected_and_copies_are_not(spark):
 
 def test_empty_table(spark):
     assert quality(edges.empty(spark)).collect() == []
+
+
+def test_production_rules_count_distinct_documents_not_shared_passages(spark):
+    """Documents that are nine tenths boilerplate go; near copies of a clean document stay."""
+    rng = random.Random(6)
+    notice = "\n".join(edges.words(rng, 9, 10**6) for _ in range(30))
+    rows = [(i, f"{edges.words(rng, 30, 10**6)}\n{notice}", "en", "h", 0, *edges.CLASH) for i in range(40)]
+    clean = [edges.words(rng, 10, 10**6).split(" ") for _ in range(30)]
+    for i in range(60):
+        own = [list(line) for line in clean]
+        own[rng.randrange(30)][rng.randrange(10)] = f"edit{i}"
+        rows.append((100 + i, "\n".join(map(" ".join, own)), "en", "h", 0, *edges.CLASH))
+    got = {r["doc_id"]: r for r in quality(edges.frame(spark, rows)).collect()}
+    assert all(got[i]["n_left"] == 30 and not got[i]["kept"] for i in range(40))
+    assert all(got[100 + i]["kept"] and got[100 + i]["n_left"] == 300 for i in range(60))
