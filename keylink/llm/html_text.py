@@ -6,6 +6,10 @@ whether it lies in an article, in an element named for page furniture, or in a h
 tree, fitted by Spark ML on the small labelled table below, keeps or drops each block. The tree goes
 to the tasks as a few thresholds, so a page is read once and nothing is shuffled.
 
+Elements without prose go up to their own closing tag. Without one, scripts, styles and other raw text
+run to the end, as in HTML; forms, selects, buttons, objects and the like go only as a tag, and so does
+a head, whose title, styles and scripts go on their own.
+
 Defined results: null or empty html gives an empty text; markup that is cut off is read to its end;
 character references without an end are decoded where HTML allows it; repeated rows are extracted
 each on its own; an empty table gives an empty table.
@@ -51,7 +55,7 @@ LABELLED = [
 # HTML elements by their use here.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption "
-    "figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table "
+    "figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
 NESTING = frozenset(
@@ -67,10 +71,17 @@ NAMES = re.compile(
     r"overlay|widget|toolbar|pagination|pager|copyright|disclaimer|legal)(?:$|[\s_-])",
     re.I,
 )
-_TOKEN = re.compile(
+SINGLE = frozenset("form select button".split())  # never inside themselves
+_PAIRED = r"noscript|template|form|select|button|svg|object"
+_RAW = (
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<drop>script|style|noscript|template|form|select|textarea|button|iframe|svg|head|title|object)"
-    r"(?=[\s/>])[^>]*+>.*?(?:</(?P=drop)\s*+>|\Z)"
+    r"|<(?P<drop>script|style|textarea|iframe|title)(?=[\s/>])[^>]*+>.*?(?:</(?P=drop)\s*+>|\Z)"
+)
+_PAIRS = re.compile(
+    r"<title\s*+/>|" + _RAW + r"|<(?P<end>/?)(?P<pair>" + _PAIRED + r")(?=[\s/>])[^>]*+>", re.I | re.S
+)
+_TOKEN = re.compile(
+    _RAW + r"|<(?P<pair>" + _PAIRED + r")(?=[\s/>])[^>]*+>"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[/!?a-z][^<>]*+(?:>|\Z)",
     re.I | re.S,
@@ -78,6 +89,27 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+def _closed(page: str) -> dict[int, int]:
+    """Where each paired element without prose that is closed begins and ends."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in _PAIRS.finditer(page):
+        if not m["pair"]:
+            continue
+        name = m["pair"].lower()
+        begun = opened.setdefault(name, [])
+        if m["end"]:
+            if begun:
+                ends[begun.pop()] = m.end()
+        elif name == "svg" and m[0].endswith("/>"):
+            ends[m.start()] = m.end()
+        else:
+            if name in SINGLE:
+                begun.clear()
+            begun.append(m.start())
+    return ends
+
+
 def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     """(text, link density, article, furniture, heading) of each block, in page order."""
     out, parts = [], []
@@ -98,11 +130,14 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         if raw:
             parts.append((html.unescape(raw), any(s[0] == "a" for s in stack)))
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, closed = 0, None
+    while m := _TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
-        if m["drop"]:
+        if m["pair"]:
+            closed = _closed(page) if closed is None else closed
+            at = closed.get(m.start(), at)
+        if m["drop"] or m["pair"]:
             flush()
             continue
         if not m["tag"]:

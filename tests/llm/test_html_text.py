@@ -2,7 +2,7 @@ import html
 import re
 
 import edges
-from keylink.llm.html_text import extract_text
+from keylink.llm.html_text import blocks, extract_text
 
 PAGE = """<html><head><title>no</title><style>p{}</style></head><body><header>Site name</header>
 <nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News &amp; more</a></li></ul></nav>
@@ -35,3 +35,17 @@ def test_generated_pages(spark, sample):
         parts = re.split(r"</?(?:h1|p)>", article)
         texts = [" ".join(html.unescape(re.sub("<[^>]*>", " ", p)).split()) for p in parts]
         assert got[r["page_id"]] == "\n\n".join(t for t in texts if t)
+
+
+def test_elements_without_a_closing_tag_lose_nothing_else():
+    prose = "word " * 60
+    kept = lambda page: " ".join(b[0] for b in blocks(page)).split()
+    for before in (
+        "<head><title>no</title><style>p{}</style><body>", "<head><meta charset=x><body>", "<svg width=1 />",
+        "<form action=x>", "<select>", "<button>", "<object data=x>", "<svg>", "<noscript>", "<template>",
+    ):
+        assert kept(f"<html>{before}<p>{prose}") == prose.split(), before
+        assert kept(f"<html>{before}<p>{prose}<form>a</form><object>b</object><svg><g/></svg>") == prose.split(), before
+    assert kept(f"<form>a</form><p>{prose}<object>b<object>c</object>d</object><svg><title/>e</svg>") == prose.split()
+    assert kept(f"<form><p>{prose}<script>'</form>'") == prose.split()
+    assert kept(f"<p>{prose}<script>no <p>end") == prose.split()
