@@ -4,7 +4,13 @@ Terms are pairs of neighbouring words in lower case (a single word for a text of
 the length of its words, each up to 16 characters, so that short function words count little, and
 votes with that weight for the set bits of its hash and against the others. Permuted block tables
 find all fingerprints within a Hamming radius: of ``blocks`` blocks, two fingerprints that differ in
-``radius`` bits agree on all but ``radius``, so each choice of that many blocks is a table's key.
+``radius`` bits agree on all but ``radius``, so each choice of that many blocks is a table's key. With
+fewer blocks than that, one block differs in radius / blocks bits at most, so each block is a table, in
+which a query looks up its own block and all blocks that differ from it in so few bits.
+
+Near copies are searched within ``NEAR`` of 128 bits: a changed word in 300 flips 5 bits on average, three
+flip 10. Each document has ``class_id``, the least id with its fingerprint; a query's ``near_classes`` are the
+class ids within that radius, its own included, so that class_id tells all partners.
 
 Defined results: null and empty texts have no terms and the fingerprint 0; equal texts have equal
 ones; a text of up to 67 million words can't overflow a counter. Order by id puts null ids first;
@@ -21,6 +27,8 @@ from pyspark.sql import functions as F
 from keylink.sources.workspace import Workspace
 
 BITS = 128
+# Radius of near copies and its blocks: one of 8 blocks differs in one bit at most.
+NEAR, NEAR_BLOCKS = 15, 8
 _LANES = 0x0000000100000001  # a counter of 32 bits for bit j, another for bit j + 32
 _LEAST = -(1 << 63)
 
@@ -82,8 +90,8 @@ def within_radius(
     queries: DataFrame, fingerprints: DataFrame, radius: int = 3, blocks: int = 4
 ) -> DataFrame:
     """(q0, q1, f0, f1): each distinct query fingerprint with every distinct one in its radius."""
-    if blocks <= radius or BITS % blocks:
-        raise ValueError("blocks must exceed the radius and divide the bits")
+    if BITS % blocks:
+        raise ValueError("blocks must divide the bits")
     width = BITS // blocks
     if width > 32:
         raise ValueError("a block has 32 bits at most")
@@ -93,15 +101,26 @@ def within_radius(
         part = F.shiftrightunsigned(names[i // per], width * (i % per))
         return part.bitwiseAND(F.lit((1 << width) - 1))
 
-    def tables(frame: DataFrame, names: tuple[str, str]) -> DataFrame:
-        keys = [
-            F.struct(F.lit(n).alias("n"), F.xxhash64(*[block(i, names) for i in chosen]).alias("k"))
-            for n, chosen in enumerate(combinations(range(blocks), blocks - radius))
-        ]
-        return frame.select(*names, F.explode(F.array(*keys)).alias("key"))
+    # fewer blocks than differing bits: tables of one block, with this many bits flipped in the query's
+    flips = radius // blocks
+    alone = range(1) if not flips else [
+        sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(width), n)
+    ]
+    each = 1 if flips else blocks - radius
+
+    def keys_of(n: int, chosen: tuple[int, ...], names: tuple[str, str], masks) -> Column:
+        def key(mask: Column) -> Column:
+            parts = [block(i, names).bitwiseXOR(mask) for i in chosen]
+            return F.struct(F.lit(n).alias("n"), F.xxhash64(*parts).alias("k"))
+
+        return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), key)
+
+    def tables(frame: DataFrame, names: tuple[str, str], masks=range(1)) -> DataFrame:
+        keys = [keys_of(n, chosen, names, masks) for n, chosen in enumerate(combinations(range(blocks), each))]
+        return frame.select(*names, F.explode(F.concat(*keys)).alias("key"))
 
     asked = queries.select(F.col("f0").alias("q0"), F.col("f1").alias("q1")).distinct()
-    left = tables(asked, ("q0", "q1"))
+    left = tables(asked, ("q0", "q1"), alone)
     right = tables(fingerprints.select("f0", "f1").distinct(), ("f0", "f1"))
     near = different(F.col("q0"), F.col("q1"), F.col("f0"), F.col("f1")) <= radius
     return left.join(right, "key").filter(near).drop("key").distinct()
@@ -156,7 +175,8 @@ def compare_with_edits(
     docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, blocks: int = 4
 ) -> DataFrame:
     """Per document its fingerprint, that of its edited text, likenesses to that and to the next
-    document's, and, for ids divisible by 100, ``n_near``: documents within the radius."""
+    document's, ``class_id``, and, for ids divisible by 100, ``n_near``: documents within the radius, and
+    ``near_classes``: ascending class ids within NEAR bits."""
     rows = with_next(docs, key, text).withColumn(
         "edited", F.when(~F.col("guard"), edited(F.col("text"), F.col("next_text")))
     )
@@ -185,18 +205,30 @@ def compare_with_edits(
         facts.join(by_row, ["bucket", "ord"]).drop("bucket", "ord"), "fingerprints"
     )
     asked = done.filter("doc % 100 = 0")
-    sizes = done.groupBy("f0", "f1").agg(F.count("*").alias("n"))
+    classes = Workspace(docs.sparkSession).save(
+        done.groupBy("f0", "f1").agg(F.count("*").alias("n"), F.min("doc").alias("class_id")), "classes"
+    )
+    apart = different(F.col("q0"), F.col("q1"), F.col("f0"), F.col("f1"))
+    wide = (NEAR, NEAR_BLOCKS) if radius <= NEAR else (radius, blocks)
     found = (
-        within_radius(asked, done, radius, blocks).join(sizes, ["f0", "f1"])
-        .groupBy("q0", "q1").agg(F.sum("n").alias("n_near"))
+        within_radius(asked, classes, *wide).join(classes, ["f0", "f1"])
+        .groupBy("q0", "q1").agg(
+            F.sum(F.when(apart <= radius, F.col("n"))).alias("n_near"),
+            F.sort_array(F.collect_list(F.when(apart <= NEAR, F.col("class_id")))).alias("near_classes"),
+        )
     )
     counted = asked.select("doc", "f0", "f1").distinct().join(
         found, (F.col("f0") == F.col("q0")) & (F.col("f1") == F.col("q1"))
-    ).select(F.col("doc").alias("doc2"), F.col("f0").alias("g0"), F.col("f1").alias("g1"), "n_near")
+    ).select(
+        F.col("doc").alias("doc2"), F.col("f0").alias("g0"), F.col("f1").alias("g1"), "n_near", "near_classes"
+    )
+    member = classes.select(F.col("f0").alias("m0"), F.col("f1").alias("m1"), "class_id")
+    done = done.join(member, (F.col("f0") == F.col("m0")) & (F.col("f1") == F.col("m1")))
     same = (F.col("doc") == F.col("doc2")) & (F.col("f0") == F.col("g0")) & (F.col("f1") == F.col("g1"))
     f, e, x = [(F.col(f"{n}0"), F.col(f"{n}1")) for n in "fex"]
     return done.join(counted, same, "left").select(
         F.col("doc").alias(key), "n_chars", "edited_sha256",
         shown(*f).alias("fingerprint"), shown(*e).alias("edited_fingerprint"),
         likeness(*f, *e).alias("near_edited"), likeness(*f, *x).alias("near_next"), "n_near",
+        "class_id", "near_classes",
     )

@@ -73,3 +73,30 @@ def test_block_tables_find_all_within_the_radius(spark):
             (*split(a), *split(b)) for a in prints for b in prints if bin(a ^ b).count("1") <= radius
         }
     assert within_radius(frame, frame.filter(F.lit(False))).count() == 0
+
+
+def test_near_copies_are_found_with_their_ids(spark):
+    """Copies of a document of 300 words with one to three words changed, and an exact copy."""
+    rng = random.Random(4)
+    base = edges.words(rng, 300, 10**6).split(" ")
+    rows = [(100, " ".join(base)), (101, " ".join(base))]
+    for i in range(1, 31):
+        own = list(base)
+        for k in range(1 + i % 3):
+            own[rng.randrange(300)] = f"edit{i}x{k}"
+        rows.append((200 + i, " ".join(own)))
+    rows += [(400 + i, edges.words(rng, 300, 10**6)) for i in range(30)]
+    frame = edges.frame(spark, [(i, t, "en", "s", len(t), *edges.CLASH) for i, t in rows])
+    got = {r["doc_id"]: r for r in compare_with_edits(frame).collect()}
+    assert got[100]["class_id"] == got[101]["class_id"] == 100
+    near = {i for i, r in got.items() if ham(r["fingerprint"], got[100]["fingerprint"]) <= 15}
+    assert set(got[100]["near_classes"]) == {got[i]["class_id"] for i in near}
+    assert len([i for i in near if 200 < i < 300]) >= 27 and not any(i >= 400 for i in near)
+    assert got[100]["n_near"] < len(near) and got[101]["near_classes"] is None
+    split = [(int(r["fingerprint"][:16], 16), int(r["fingerprint"][16:], 16)) for r in got.values()]
+    signed = [tuple(v - (1 << 64) if v >> 63 else v for v in x) for x in split]
+    prints = spark.createDataFrame(signed, "f0 long, f1 long")
+    assert {tuple(r) for r in within_radius(prints, prints, 15, 8).collect()} == {
+        (*a, *b) for a, x in zip(signed, split) for b, y in zip(signed, split)
+        if sum((u ^ v).bit_count() for u, v in zip(x, y)) <= 15
+    }
