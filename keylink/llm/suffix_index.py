@@ -1,11 +1,12 @@
-"""Repeated byte strings by a logarithmic family of sparse suffix arrays.
-
-Suffixes start at anchors (see anchors.py), so a string of ``WINDOW`` bytes that repeats has a
-suffix in the arrays at each of its places, at the same offset. Documents come in ``BATCHES`` ranges
-of ids. Each batch gets its suffix array: its suffixes sorted by a hash of their first ``ANCHOR``
-bytes, in buckets. It is merge-scanned against each existing level for suffixes that begin alike,
-without a shuffle, since all arrays have the same buckets. Then it becomes a level, and levels of
-equal rank merge, so that each suffix is rewritten at most log2(batches) times.
+"""Repeated byte strings by anchors counted in levels, and by window hashes.
+
+Suffixes start at anchors (see anchors.py), so a string of ``WINDOW`` bytes that repeats has an anchor
+at each of its places, at the same offset. This is no suffix order: a suffix is known by a hash of its
+first ``ANCHOR`` bytes only, since windows need equality alone. Documents come in ``BATCHES`` ranges of
+ids. A batch's hashes are counted and joined with each existing level, without a shuffle, since all
+tables have the same buckets; then they become a level, and levels of equal rank merge, so that each
+count is rewritten at most log2(batches) times. Levels hold (hash, count), never suffixes; they find
+the beginnings that repeat, as one count over all batches would, and go when the call ends.
 
 Suffixes with a partner are then compared over the whole range that their windows reach. Those with
 the same range of bytes as an earlier one repeat whole; the first of each range are compared window
