@@ -13,9 +13,13 @@ minwise token, below the root by an odd sketch as well, then confirmed on the fu
 sketch has the parity of the shingles that hash to each bit; two of them differ in as many bits as
 the sets differ in shingles at most, so it never drops a link.
 
-A pair at 85 % is missed by the root's split of all 12 trees with a chance of 0.15^12 = 1e-10. In a
-large node it reaches a common child in 0.77 of the trees, so by the root and one step it is missed
-with (1 - 0.85 * 0.77)^12 = 4e-6, at 90 % with 1e-9. The bit screen drops it with about 1e-8.
+A pair at 85 % is missed by the root's split of all 12 trees with a chance of 0.15^12 = 1e-10. Each step
+that its nodes branch adds to that: paths choose among ``POSITIONS`` tokens, and averaged over how many of
+these a pair shares, 12 trees miss it with 2e-4 after one step, 3e-3 after two, 1e-2 after three, 5e-2
+after five and 0.17 after ten. Hence all sets of nodes that went so deep go through 12 more trees, with
+minwise tokens of their own, as often as it takes for a chance of ``MISS`` (2e-4): twice from two steps on,
+three times from five, five times at ten. ``_missed`` has the chance by depth; at 80 % it is 3e-4 after
+one step, so that sets go twice from there on. The bit screen drops a pair with up to 1e-8.
 
 Defined results: null, empty or wordless texts have no shingles and link with nothing; a row with a
 null id links with nothing, has a null component and stays; repeated rows share a component, of
@@ -26,7 +30,8 @@ gives an empty table; all input columns stay but those that a result column of t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from functools import cache, reduce
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +53,12 @@ PIVOTS = 8
 STEP = 4
 # The chance that the bit screen drops a pair at the threshold.
 SCREENED = 1e-8
+# The chance to miss a pair at the threshold, however deep its nodes branch.
+MISS = 2e-4
 # Longs of an odd sketch. It parts sets of up to about 1,500 shingles; larger ones it lets pass.
 SKETCH = 8
 
 _U32 = np.uint32
-_SALT = (ta.seeds(POSITIONS, 5000) >> np.uint64(32)).astype(_U32)
-_ODD = (ta.seeds(POSITIONS, 6000) >> np.uint64(32)).astype(_U32) | _U32(1)
 
 
 def _children(percent: int) -> int:
@@ -91,15 +96,35 @@ def _keys(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     )
 
 
-def _minwise(values: np.ndarray, counts: np.ndarray):
+@cache
+def _missed(percent: int, depth: int) -> float:
+    """The chance that TREES trees miss a pair at the threshold in nodes that branch depth times."""
+    p, total = percent / 100, 0.0
+    for shared in range(POSITIONS + 1):  # of the pair's tokens
+        r, found = shared / POSITIONS, 1.0
+        for _ in range(depth):
+            found = 1 - (1 - r**STEP * found) ** _children(percent)
+        chance = comb(POSITIONS, shared) * p**shared * (1 - p) ** (POSITIONS - shared)
+        total += chance * (1 - r * found) ** TREES
+    return total
+
+
+def _rounds(percent: int, depth: int) -> int:
+    """How many times TREES trees with fresh tokens it takes for a chance of MISS."""
+    return ceil(log(MISS) / log(_missed(percent, depth)))
+
+
+def _minwise(values: np.ndarray, counts: np.ndarray, turn: int = 0):
     """Minwise tokens (documents x positions), and two bits of each packed into two integers."""
+    salt = (ta.seeds(POSITIONS, 5000 + 10_000 * turn) >> np.uint64(32)).astype(_U32)
+    odd = (ta.seeds(POSITIONS, 6000 + 10_000 * turn) >> np.uint64(32)).astype(_U32) | _U32(1)
     has = np.flatnonzero(counts)
     begin = (np.cumsum(counts) - counts)[has]
     tokens = np.zeros((len(counts), POSITIONS), dtype=_U32)
     if len(has):
         low = (values >> np.uint64(32)).astype(_U32)
         for i in range(POSITIONS):
-            x = (low ^ _SALT[i]) * _ODD[i]
+            x = (low ^ salt[i]) * odd[i]
             x ^= x >> _U32(15)
             x *= _U32(0x2C1B3C6D)
             x ^= x >> _U32(13)
@@ -252,34 +277,67 @@ def _label(sets: DataFrame, full, space: Workspace, percent: int) -> DataFrame |
         F.col("_b0").alias("b0"), F.col("_b1").alias("b1"), F.col("_tokens").alias("t"),
         F.col("_odd").alias("odd"),
     )
-    first = member.select(
-        "s", F.posexplode(F.slice("t", 1, TREES)).alias("tree", "x")
-    ).select(F.xxhash64("tree", "x").alias("node"), "s")
-    shared = first.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
-    nodes = space.save(first.join(shared, "node"), "nodes")
-    full = full(nodes.select("s").distinct())
-    labels, level = None, 0
+    active, labels, turn, deep = member, None, 0, []
     while True:
-        # odd sketches are for the few pairs below the root, tokens for branching alone
-        rows = nodes.join(_labelled(member.drop("t", "odd") if level == 0 else member.drop("t"), labels), "s")
-        stats = space.save(_stats(rows), "stats")
-        links = space.save(_confirmed(_candidates(rows, stats, level, percent), full, percent), "links")
-        labels = _merge(labels, links, space)
-        # what pivots have left of the large nodes
-        large = nodes.join(stats.filter(_large(level)).select("node"), "node")
-        known = _labelled(member.select("s"), labels)
-        left = space.save(_stats(large.join(known, "s")).select("node", "rest"), "left")
-        space.drop(stats, links)
-        if left.isEmpty():
-            space.drop(nodes, full, left)
+        first = active.select(
+            "s", F.posexplode(F.slice("t", 1, TREES)).alias("tree", "x")
+        ).select(F.xxhash64("tree", "x").alias("node"), "s")
+        shared = first.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
+        nodes, level = space.save(first.join(shared, "node"), "nodes"), 0
+        if turn == 0:
+            full = full(nodes.select("s").distinct())
+        while True:
+            # odd sketches are for the few pairs below the root, tokens for branching alone
+            kinds = active.drop("t", "odd") if level == 0 else active.drop("t")
+            rows = nodes.join(_labelled(kinds, labels), "s")
+            stats = space.save(_stats(rows), "stats")
+            links = space.save(_confirmed(_candidates(rows, stats, level, percent), full, percent), "links")
+            labels = _merge(labels, links, space)
+            # what pivots have left of the large nodes
+            large = nodes.join(stats.filter(_large(level)).select("node"), "node")
+            known = _labelled(active.select("s"), labels)
+            left = space.save(_stats(large.join(known, "s")).select("node", "rest"), "left")
+            space.drop(stats, links)
+            if left.isEmpty():
+                space.drop(nodes, left)
+                break
+            level += 1
+            open_ = left.filter(_large(level))
+            if (times := _rounds(percent, level)) > turn + 1:
+                deep.append((times, space.save(nodes.join(open_.select("node"), "node").select("s").distinct(), "deep")))
+            ready = nodes.join(left.filter(~_large(level)).select("node"), "node").select("node", "s")
+            grown = _branch(nodes.join(active.select("s", "t"), "s"), open_, percent).select("node", "s")
+            lonely = grown.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
+            grown = space.save(ready.union(grown.join(lonely, "node")), "nodes")
+            space.drop(nodes, left)
+            nodes = grown
+        turn += 1
+        if turn > 1:
+            space.drop(active)
+        again = [table for times, table in deep if times > turn and not table.isEmpty()]
+        if not again:
+            space.drop(full, *[table for _, table in deep])
             return labels
-        level += 1
-        ready = nodes.join(left.filter(~_large(level)).select("node"), "node").select("node", "s")
-        grown = _branch(nodes.join(member.select("s", "t"), "s"), left.filter(_large(level)), percent).select("node", "s")
-        lonely = grown.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
-        grown = space.save(ready.union(grown.join(lonely, "node")), "nodes")
-        space.drop(nodes, left)
-        nodes = grown
+        active = _renewed(member, reduce(DataFrame.union, again).distinct(), full, turn, space)
+
+
+def _renewed(member: DataFrame, names: DataFrame, full: DataFrame, turn: int, space: Workspace) -> DataFrame:
+    """The named sets (column s) with other minwise tokens."""
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, min(500, batch.num_rows - lo))
+                sets = part.column(1)
+                values = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                counts = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                new = _minwise(values, counts, turn)[0].ravel().view(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), ta.lists(new, np.full(len(counts), POSITIONS), pa.int32())], ["s2", "t"]
+                )
+
+    sets = full.join(names, F.col("_set") == F.col("s"), "left_semi").select("_set", "_all")
+    new = sets.mapInArrow(tokens, "s2 binary, t array<int>")
+    return space.save(member.drop("t").join(new, F.col("s") == F.col("s2")).drop("s2"), "renewed")
 
 
 def _merge(labels: DataFrame | None, links: DataFrame, space: Workspace) -> DataFrame:

@@ -124,3 +124,30 @@ def test_odd_sketches_differ_by_no_more_than_the_sets():
 def test_percent_binds_links_and_screens():
     assert [near_dedup._children(p) for p in (85, 80)] == [2, 3]
     assert [near_dedup._max_different(p) for p in (85, 80)] == [24, 28]
+
+
+def test_rounds_hold_the_chance_at_every_depth():
+    assert [near_dedup._rounds(85, d) for d in (0, 1, 2, 5, 10)] == [1, 1, 2, 3, 5]
+    for percent in (80, 85):
+        for d in range(30):
+            assert near_dedup._missed(percent, d) ** near_dedup._rounds(percent, d) <= near_dedup.MISS
+
+
+def test_template_family_larger_than_a_leaf(spark, monkeypatch):
+    """Unlinked documents on one template, which branch for several steps, with some pairs above 85 %."""
+    monkeypatch.setattr(near_dedup, "LEAF", (8, 32))
+    monkeypatch.setattr(near_dedup, "MISS", 1e-6)  # a second round from one step on
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    turns = []
+    renewed = near_dedup._renewed
+    monkeypatch.setattr(near_dedup, "_renewed", lambda *a: turns.append(a[3]) or renewed(*a))
+    rng = random.Random(9)
+    template, texts = edges.words(rng, 200, 10**6), []
+    for _ in range(40):
+        texts.append(f"{template} {edges.words(rng, 36, 10**6)}")
+    for text in texts[:5]:
+        texts.append(f"{text} {edges.words(rng, 10, 10**6)}")
+    rows = list(enumerate(texts))
+    frame = edges.frame(spark, [(i, t, "en", "s", 0, *edges.CLASH) for i, t in rows])
+    check(frame, rows)
+    assert turns and turns[0] == 1
