@@ -10,9 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keylink.llm import oracles
+from keylink.llm.centroids import cluster_vectors
 from keylink.llm.chat import link_quotes
 from keylink.llm.fingerprints import compare_with_edits
 from keylink.llm.html_text import extract_text
+from keylink.llm.kernel_quality import score_quality
+from keylink.llm.lexical import search
 from keylink.llm.mixing import mix
 from keylink.llm.near_dedup import near_duplicates
 from keylink.llm.packing import pack
@@ -93,6 +97,23 @@ def op10_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_laesa_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return cluster_vectors(vectors).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def op12_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), with_text=False)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chosen_path": op1_chosen_path,
     "op2_quotation_links": op2_quotation_links,
@@ -104,9 +125,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_de_bruijn": op8_de_bruijn,
     "op9_simhash": op9_simhash,
     "op10_suffix_levels": op10_suffix_levels,
+    "op11_laesa_clusters": op11_laesa_clusters,
+    "op12_kernel_quality": op12_kernel_quality,
+    "op13_norm_buckets": op13_norm_buckets,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_laesa_clusters": oracles.clusters(),
+    "op13_norm_buckets": oracles.ranked(),
     "op6_poisson_mix": """
 WITH counts AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source),
 rates AS (
