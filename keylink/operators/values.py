@@ -28,6 +28,9 @@ def key_columns(source: Source) -> list[ColumnInfo]:
     return [c for c in source.columns() if family(c.dtype) is not None]
 
 
+# Parts of the value space by hash; see ``value_counts``.
+SLOTS = 64
+
 # Tables below this many cells are read once, all columns as text: grouping
 # them by native type would only add branches to the plan.
 ONE_SCAN_CELLS = 1_000_000
@@ -56,11 +59,17 @@ def _unpivot(frame: DataFrame, items: Sequence[ColumnInfo], parts, names) -> Dat
     return frame.selectExpr(f"stack({len(items)}, {cells}) AS ({labels})")
 
 
+def slot_of(c: ColumnInfo) -> str:
+    """The part of the value space a cell belongs to; equal values have equal slots."""
+    return f"pmod(xxhash64({canonical_text(c.name, c.dtype)}), {SLOTS})"
+
+
 def value_counts(
     source: Source,
     columns: Sequence[ColumnInfo],
     text_stats: bool = False,
     table_rows: Mapping[str, int] | None = None,
+    slots: tuple[int, int] | None = None,
 ) -> DataFrame:
     """``cid, v, cnt``: every distinct value of every column with its row count.
 
@@ -68,26 +77,35 @@ def value_counts(
     the shuffle carries numbers as numbers and each map task sends a hot value
     once.  With ``text_stats`` the length in characters (``chars``) and whether
     the value is plain ASCII (``ascii``) come along, measured on the whole text.
-    ``table_rows``, where known, keeps the plan short for small tables.
+    ``table_rows``, where known, keeps the plan short for small tables.  With
+    ``slots`` only values of those slots (first, end) are counted, others are
+    dropped in the scan; ``slot`` comes along.
     """
     grouped: dict[str, list[DataFrame]] = {}
     for (kind, table), items in _scans(columns, table_rows or {}).items():
         frame = source.tables[table]
         if kind == TEXT and text_stats:
-            long = _unpivot(frame, items, _key_and_lengths, ("x", "chars", "octets"))
+            parts, names = _key_and_lengths, ("x", "chars", "octets")
         elif kind == TEXT:
-            long = _unpivot(frame, items, lambda c: (join_key(c.name, c.dtype),), ("x",))
+            parts, names = lambda c: (join_key(c.name, c.dtype),), ("x",)
         else:
-            long = _unpivot(frame, items, lambda c: (native_value(c.name, c.dtype),), ("x",))
+            parts, names = lambda c: (native_value(c.name, c.dtype),), ("x",)
+        if slots is None:
+            long = _unpivot(frame, items, parts, names)
+        else:
+            long = _in_slots(frame, items, parts, names, slots)
         grouped.setdefault(kind, []).append(long)
     counted = []
     for kind, parts in grouped.items():
         aggregates = [F.count(F.lit(1)).alias("cnt")]
         if text_stats and kind == TEXT:
             aggregates += [F.max("chars").alias("chars"), F.max("octets").alias("octets")]
-        counts = union_all(parts).groupBy("cid", "x").agg(*aggregates)
         text = rendered("x", kind)
         out = ["cid", f"{text} AS v", "cnt"]
+        if slots is not None:
+            aggregates.append(F.max("slot").alias("slot"))
+            out.append("slot")
+        counts = union_all(parts).groupBy("cid", "x").agg(*aggregates)
         if text_stats and kind == TEXT:
             out += ["chars", "coalesce(chars = octets, false) AS ascii"]
         elif text_stats:
@@ -96,6 +114,21 @@ def value_counts(
     return union_all(counted)
 
 
+def _in_slots(frame: DataFrame, items, parts, names, slots: tuple[int, int]) -> DataFrame:
+    """As ``_unpivot``; a cell of another slot is dropped before its parts are worked out."""
+    first, end = slots
+
+    def guarded(c: ColumnInfo):
+        inside = f"{slot_of(c)} BETWEEN {first} AND {end - 1}"
+        return (slot_of(c), *[f"CASE WHEN {inside} THEN {part} END" for part in parts(c)])
+
+    if slots == (0, SLOTS):
+        return _unpivot(frame, items, lambda c: (slot_of(c), *parts(c)), ("slot", *names))
+    return _unpivot(frame, items, guarded, ("slot", *names)).filter(
+        F.col("slot").between(first, end - 1)
+    )
+
+
 def _key_and_lengths(c: ColumnInfo) -> tuple[str, str, str]:
     text = canonical_text(c.name, c.dtype)
     return join_key(c.name, c.dtype), f"char_length({text})", f"octet_length({text})"

@@ -8,16 +8,15 @@ and by ``value`` once to test inclusion.
 from __future__ import annotations
 
 import logging
-from collections import Counter
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keylink.functions.canonical import is_text, join_key, quoted
+from keylink.functions.canonical import is_text, quoted
 from keylink.functions.frames import metadata_frame, union_all
 from keylink.operators.candidates import candidate_pairs, classify
 from keylink.operators.gates import column_name_gate, column_type_gate, table_gate, value_gate
@@ -29,7 +28,16 @@ from keylink.operators.inclusion import (
     with_miss_ratio,
 )
 from keylink.operators.profile import column_profile
-from keylink.operators.values import column_sample, value_counts
+from keylink.operators.rounds import ROUNDS, surviving_in_rounds
+from keylink.operators.sketches import (
+    column_sketches,
+    column_statistics,
+    distinct_estimate,
+    may_be_unique,
+    repeats,
+    surviving_pairs,
+)
+from keylink.operators.values import SLOTS, column_sample, value_counts
 from keylink.params import FIXED_RATIO_BASE, Params
 from keylink.sources.catalog import ColumnInfo, Source, table_row_counts
 from keylink.sources.workspace import Workspace
@@ -42,26 +50,11 @@ RELATION_COLUMNS = (
     "matching_degree",
 )
 
-# The first rows of each table that are looked at to rule columns out early;
-# fewer of them where a table is so wide that the driver would hold too many cells.
-PEEK_ROWS = 10_000
-PEEK_CELLS = 200_000
-# Of those, how many distinct values per column are tried against the keys.
-PEEK_VALUES = 100
-PEEK_VALUES_IN_ALL = 500_000
-
 # Below this many cells one pass over all columns costs less than the extra stages.
 STAGED_FROM_CELLS = 100_000_000
 
 STRATEGIES = ("auto", "staged", "oneshot")
 
-_COUNTS_SCHEMA = T.StructType(
-    [
-        T.StructField("cid", T.IntegerType()),
-        T.StructField("v", T.StringType()),
-        T.StructField("cnt", T.LongType()),
-    ]
-)
 _ROLE_SCHEMA = T.StructType(
     [
         T.StructField("cid", T.IntegerType()),
@@ -83,10 +76,10 @@ def discover(
 ) -> DataFrame:
     """Relations of ``source`` as a 13-column DataFrame.
 
-    ``staged`` counts the columns that may be keys first and leaves out the
-    referencing columns whose first rows already miss every key too often;
-    ``oneshot`` counts all columns at once.  Both give the same rows; ``auto``
-    goes by the number of cells.
+    ``staged`` rules out keys and pairs by sketches, counts the columns that may
+    be keys, and tests the other columns in rounds that leave out what already
+    misses every key too often; ``oneshot`` counts all columns at once.  Both
+    give the same rows; ``auto`` goes by the number of cells.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
@@ -95,29 +88,21 @@ def discover(
     run.gate_tables_and_columns()
     if not run.eligible:
         return run.relations(None)
-    prune = strategy == "staged" or (strategy == "auto" and run.cells() >= STAGED_FROM_CELLS)
-    # Where only keys are counted in full, looking ahead pays on small data too.
+    staged = strategy == "staged" or (strategy == "auto" and run.cells() >= STAGED_FROM_CELLS)
+    # Where only keys are counted in full, ruling some out pays on small data too.
     keys_only = params.sample_rows is not None or params.class_policy == "unique_only"
-    run.count_possible_keys(peek=prune or (strategy == "auto" and keys_only))
+    if staged or (strategy == "auto" and keys_only):
+        run.take_statistics()
+    if staged and params.sample_rows is None:
+        run.refute_pairs()
+    run.count_possible_keys(with_slots=staged)
     if params.sample_rows is not None:
         run.count_samples()
     else:
-        run.count_references(prune)
+        run.count_references(staged)
     return run.relations(run.hits())
 
 
-@dataclass
-class _Peek:
-    """What the first rows of a table say about one column."""
-
-    repeats: bool = False
-    nulls: int = 0
-    values: Counter | None = None
-
-    def tested_rows(self) -> int:
-        return self.nulls + sum(self.values.values())
-
-
 class _Run:
     """State of one run: column metadata on the driver, values in the workspace."""
 
@@ -132,7 +117,13 @@ class _Run:
         self.columns = {c.cid: c for c in self.source.columns()}
         self.eligible: list[ColumnInfo] = []
         self.table_rows: dict[str, int] = {}
-        self.peeks: dict[int, _Peek] = {}
+        self.not_keys: set[int] = set()
+        self.estimates: dict[int, int] = {}
+        self.statistics: DataFrame | None = None
+        self.pairs: DataFrame | None = None
+        self.in_pairs: set[int] | None = None
+        self.tested_pairs: DataFrame | None = None
+        self.columns_read: tuple[tuple[int, ...], ...] = ()
         self.pks: list[int] = []
         self.fks: list[int] = []
         self.tested: dict[int, int] = {}
@@ -172,44 +163,68 @@ class _Run:
     def may_refer(self, c: ColumnInfo) -> bool:
         return c.table not in self.params.not_cite_tables
 
+    # -- before any value is shuffled ------------------------------------------
+
+    def take_statistics(self) -> None:
+        """Rows, NULLs and estimates of distinct values; rules out keys."""
+        self.statistics = self.workspace.save(
+            column_statistics(self.source, self.eligible), "statistics"
+        )
+        judged = self.statistics.select(
+            "cid", may_be_unique().alias("possible"), distinct_estimate().alias("estimate")
+        )
+        for row in judged.collect():
+            self.estimates[row["cid"]] = row["estimate"]
+            if not row["possible"]:
+                self.not_keys.add(row["cid"])
+
+    def refute_pairs(self) -> None:
+        """Drops keys with repeats and pairs with too many misses, as far as sketches show them."""
+        sketches = self.workspace.save(
+            column_sketches(self.source, self.eligible, self.estimates), "sketches"
+        )
+        self.not_keys |= {row["cid"] for row in sketches.filter(repeats()).select("cid").collect()}
+        possible = [c for c in self.eligible if c.cid not in self.not_keys]
+        policy = self.params.class_policy
+        refs = [
+            c for c in self.eligible
+            if self.may_refer(c)
+            and (policy == "any" or c.cid not in self.not_keys
+                 or (policy == "ascii" and is_text(c.dtype)))
+        ]
+        pairs = surviving_pairs(
+            self.spark,
+            sketches,
+            self.statistics,
+            [(c.cid, c.table, float(self.ratio_base(c))) for c in refs],
+            [(c.cid, c.table) for c in possible if self.may_be_key(c)],
+            self.params.sup_out_foreign_key,
+        )
+        self.pairs = self.workspace.save(pairs, "pairs")
+        alive = self.pairs.agg(
+            F.collect_set("fk").alias("fks"), F.collect_set("pk").alias("pks")
+        ).first()
+        self.in_pairs = {*alive["fks"], *alive["pks"]}
+
     # -- keys ----------------------------------------------------------------
 
-    def count_possible_keys(self, peek: bool) -> None:
+    def count_possible_keys(self, with_slots: bool) -> None:
         """Counts all columns that may be unique and picks the keys among them."""
-        if peek:
-            self.peek()
         # Barred tables are counted as well: whether their columns are unique
         # decides which of them may refer.
-        possible = [c for c in self.eligible if not peek or not self.ruled_out_as_key(c)]
+        possible = [
+            c for c in self.eligible
+            if c.cid not in self.not_keys and (self.in_pairs is None or c.cid in self.in_pairs)
+        ]
         if possible:
-            self.key_counts = self.save_counts(self.source, possible, "keys")
+            self.key_counts = self.save_counts(
+                self.source, possible, "keys", (0, SLOTS) if with_slots else None
+            )
             self.take_profiles(self.key_counts)
 
-    def ruled_out_as_key(self, c: ColumnInfo) -> bool:
-        seen = self.peeks[c.cid]
-        return seen.repeats or seen.nulls > 0
-
-    def peek(self) -> None:
-        """Looks at a few rows per table: a repeat or a NULL there is proof."""
-        by_table: dict[str, list[ColumnInfo]] = {}
-        for c in self.eligible:
-            by_table.setdefault(c.table, []).append(c)
-        most = max(1, min(PEEK_VALUES, PEEK_VALUES_IN_ALL // len(self.eligible)))
-
-        def look(table: str) -> None:
-            items = by_table[table]
-            keys = [f"{join_key(c.name, c.dtype)} AS c{c.cid}" for c in items]
-            limit = max(PEEK_VALUES, min(PEEK_ROWS, PEEK_CELLS // len(keys)))
-            rows = self.source.tables[table].selectExpr(*keys).take(limit)
-            for position, c in enumerate(items):
-                self.peeks[c.cid] = _peek_at([row[position] for row in rows], most)
-
-        with ThreadPoolExecutor(max_workers=8) as pool:
-            list(pool.map(look, by_table))
-
     # -- referencing columns ---------------------------------------------------
 
-    def count_references(self, prune: bool) -> None:
+    def count_references(self, staged: bool) -> None:
         """Counts the referencing columns that are still in question."""
         counted = set(self.distinct)
         rest = [c for c in self.eligible if c.cid not in counted and self.may_refer(c)]
@@ -217,66 +232,47 @@ class _Run:
             rest = []
         elif self.params.class_policy == "ascii":
             rest = [c for c in rest if is_text(c.dtype)]
-        if prune and self.pks:
-            known = [c for c in self.eligible if c.cid in self.fks]
-            fks, pks = self.columns_alive(known + rest)
-            rest = [c for c in rest if c.cid in fks]
-            self.fks = [cid for cid in self.fks if cid in fks]
-            self.pks = [cid for cid in self.pks if cid in pks]
+        if staged:
+            more = self.test_in_rounds(rest)
+        else:
+            more = self.save_counts(self.source, rest, "references") if rest else None
         self.fk_counts = self.key_counts
-        if rest:
-            more = self.save_counts(self.source, rest, "references")
+        if more is not None:
             self.take_profiles(more, keys=False)
             parts = [frame for frame in (self.key_counts, more) if frame is not None]
             self.fk_counts = union_all([part.select("cid", "v", "cnt") for part in parts])
 
-    def columns_alive(self, refs: Sequence[ColumnInfo]) -> tuple[set[int], set[int]]:
-        """Columns of pairs that the peeked rows do not yet refuse.
-
-        Misses can only grow with more rows, so a pair refused here would be
-        refused by the full test.  A column that could pass without a single
-        hit among its peeked rows stays, and then all keys stay.
-        """
-        sup = self.params.sup_out_foreign_key
-        undecided = {
-            c.cid for c in refs if self.peeks[c.cid].tested_rows() / self.ratio_base(c) <= sup
-        }
-        refs = [c for c in refs if c.cid not in undecided]
-        if not refs:
-            return undecided, set(self.pks)
-        probe = metadata_frame(
-            self.spark,
-            [
-                (c.cid, value, count)
-                for c in refs
-                for value, count in self.peeks[c.cid].values.items()
-            ],
-            _COUNTS_SCHEMA,
+    def test_in_rounds(self, rest: Sequence[ColumnInfo]) -> DataFrame | None:
+        """Tests the surviving pairs; returns the counts of the columns of ``rest`` that pass."""
+        if not self.pks:
+            return None
+        refs = {*self.fks, *[c.cid for c in rest]}
+        pairs = self.pairs.filter(
+            F.col("pk").isin(self.pks) & F.col("fk").isin(sorted(refs))
         )
-        fks = [c.cid for c in refs]
-        hits = hits_by_pair(separate_rows(probe, fks, self.key_counts, self.pks))
-        limits = metadata_frame(
+
+        def count(cids: Sequence[int], slots: tuple[int, int]) -> DataFrame:
+            columns = [self.columns[cid] for cid in cids]
+            return value_counts(self.source, columns, self.text_stats(), self.table_rows, slots)
+
+        tested = surviving_in_rounds(
             self.spark,
-            [
-                (c.cid, c.table, self.peeks[c.cid].tested_rows(), float(self.ratio_base(c)))
-                for c in refs
-            ],
-            "fk int, fk_table string, peeked bigint, base double",
-        )
-        keys = metadata_frame(
-            self.spark, [(cid, self.columns[cid].table) for cid in self.pks],
-            "pk int, pk_table string",
-        )
-        alive = (
-            hits.join(limits, "fk")
-            .join(keys, "pk")
-            .filter("fk_table <> pk_table")
-            .filter((F.col("peeked") - F.col("hits")) / F.col("base") <= F.lit(float(sup)))
-            .agg(F.collect_set("fk").alias("fks"), F.collect_set("pk").alias("pks"))
-            .first()
+            pairs,
+            count,
+            [c.cid for c in rest],
+            self.key_counts,
+            {cid: float(self.ratio_base(self.columns[cid])) for cid in refs},
+            self.params.sup_out_foreign_key,
+            self.workspace,
+            ROUNDS if rest else ((0, SLOTS),),
         )
-        keys_alive = set(self.pks) if undecided else set(alive["pks"])
-        return undecided | set(alive["fks"]), keys_alive
+        self.tested_pairs, self.columns_read = tested.pairs, tested.read
+        alive = tested.pairs.agg(F.collect_set("fk").alias("fks")).first()["fks"]
+        self.fks = [cid for cid in self.fks if cid in alive]
+        if tested.counts is None:
+            return None
+        passed = [c.cid for c in rest if c.cid in alive]
+        return tested.counts.filter(F.col("cid").isin(passed)) if passed else None
 
     def count_samples(self) -> None:
         """Gates and tests a repeatable sample of every table instead of all rows."""
@@ -324,11 +320,19 @@ class _Run:
             return FIXED_RATIO_BASE
         return self.table_rows[c.table]
 
-    def save_counts(self, source: Source, columns: Sequence[ColumnInfo], name: str) -> DataFrame:
+    def save_counts(
+        self,
+        source: Source,
+        columns: Sequence[ColumnInfo],
+        name: str,
+        slots: tuple[int, int] | None = None,
+    ) -> DataFrame:
         rows = self.table_rows
         if self.params.sample_rows is not None and source is not self.source:
             rows = {table: min(count, self.params.sample_rows) for table, count in rows.items()}
-        return self.workspace.save(value_counts(source, columns, self.text_stats(), rows), name)
+        return self.workspace.save(
+            value_counts(source, columns, self.text_stats(), rows, slots), name
+        )
 
     def gated_profile(self, counts: DataFrame) -> list:
         """One row per counted column: profile, roles and gate (catalog-sized)."""
@@ -359,6 +363,8 @@ class _Run:
         """``fk, pk, hits`` of all candidate columns."""
         if not self.fks or not self.pks:
             return None
+        if self.tested_pairs is not None:
+            return self.tested_pairs
         keys = self.key_counts.select("cid", "v", "cnt")
         if self.params.sample_rows is not None:
             return hits_by_pair(separate_rows(self.fk_counts, self.fks, keys, self.pks))
@@ -421,13 +427,3 @@ class _Run:
             F.col("f.column_comment").alias("column2comment"),
             F.col("miss_ratio").alias("matching_degree"),
         )
-
-
-def _peek_at(cells: Sequence[str | None], most: int) -> _Peek:
-    counts = Counter(cell for cell in cells if cell is not None)
-    seen = _Peek(
-        repeats=any(count > 1 for count in counts.values()),
-        nulls=len(cells) - counts.total(),
-    )
-    seen.values = Counter(dict(list(counts.items())[:most]))
-    return seen
