@@ -72,7 +72,7 @@ def surviving_in_rounds(
         refs = union_all(rows)
         for row in refs.groupBy("cid").agg(F.sum("cnt").alias("_n")).collect():
             seen[row["cid"]] = seen.get(row["cid"], 0) + row["_n"]
-        found = hits_by_pair(separate_rows(refs, fks, keys, pks))
+        found = hits_by_pair(separate_rows(refs, fks, keys, pks), len(pks), workspace)
         limits = metadata_frame(
             spark, [(cid, seen.get(cid, 0), float(bases[cid])) for cid in fks],
             "fk int, tested bigint, base double",

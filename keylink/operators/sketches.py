@@ -22,6 +22,7 @@ from keylink.functions.canonical import INTEGRAL, TEXT, canonical_text, family,
 from keylink.functions.frames import metadata_frame, union_all
 from keylink.operators.inclusion import hits_by_pair
 from keylink.sources.catalog import ColumnInfo, Source
+from keylink.sources.workspace import Workspace
 
 # Distinct values a sketch holds, about.
 SKETCH_VALUES = 512
@@ -169,6 +170,7 @@ def surviving_pairs(
     refs: Sequence[tuple[int, str, float]],
     keys: Sequence[tuple[int, str]],
     sup_out_foreign_key: float,
+    workspace: Workspace | None = None,
 ) -> DataFrame:
     """``fk, pk`` of the pairs that neither sketches nor ranges refute.
 
@@ -216,7 +218,9 @@ def surviving_pairs(
         entries.filter(cid.isin(sorted({*ref_ids, *key_ids}))).select(
             F.col("h").alias("v"), "cid",
             F.when(cid.isin(ref_ids), F.col("n")).alias("cnt"), cid.isin(key_ids).alias("is_pk"),
-        )
+        ),
+        len(key_ids),
+        workspace,
     )
     paired = met.join(hits, ["fk", "pk"], "left")
     unmet = paired.filter(

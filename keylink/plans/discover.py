@@ -199,6 +199,7 @@ class _Run:
             [(c.cid, c.table, float(self.ratio_base(c))) for c in refs],
             [(c.cid, c.table) for c in possible if self.may_be_key(c)],
             self.params.sup_out_foreign_key,
+            self.workspace,
         )
         self.pairs = self.workspace.save(pairs, "pairs")
         alive = self.pairs.agg(
@@ -367,8 +368,10 @@ class _Run:
             return self.tested_pairs
         keys = self.key_counts.select("cid", "v", "cnt")
         if self.params.sample_rows is not None:
-            return hits_by_pair(separate_rows(self.fk_counts, self.fks, keys, self.pks))
-        return hits_by_pair(shared_rows(self.fk_counts, self.fks, self.pks))
+            rows = separate_rows(self.fk_counts, self.fks, keys, self.pks)
+        else:
+            rows = shared_rows(self.fk_counts, self.fks, self.pks)
+        return hits_by_pair(rows, len(self.pks), self.workspace)
 
     def role_frame(self, cids: Sequence[int]) -> DataFrame:
         comments = self.source.table_comments
