@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from checks.queries import (
     CONFIG_COLUMNS,
+    INCLUSION_TOLERANCE,
     MODEL,
     NAME_RULES,
+    NESTED,
     RELATIONS,
     STAGED,
     TABLE_RULES,
@@ -49,13 +51,13 @@ def frame_of(table: str) -> str:
     )
 
 
-def columns(tables, floating=True, other=False):
+def columns(tables, other=False):
     """(cid, table, column, type, ordinal), numbered over all columns."""
     found, cid = [], 0
     for table in tables:
         for ordinal, (name, kind) in enumerate(columns_of(table)):
             cls = type_class(kind)
-            if (other or cls != "other") and (floating or cls != "floating"):
+            if other or cls != "other":
                 found.append((cid, table, name, kind, ordinal))
             cid += 1
     return found
@@ -74,12 +76,36 @@ def meta(cols) -> str:
     )
 
 
+def real_text(c: str) -> str:
+    """The text of a double as the JVM writes it: E notation from 10**7 on and below 10**-3."""
+    t = f"CAST({c} AS VARCHAR)"
+    mantissa = f"replace(split_part({t}, 'e', 1), '-', '')"
+    whole = f"ltrim(split_part({mantissa}, '.', 1), '0')"
+    part = f"split_part({mantissa}, '.', 2)"
+    shift = f"coalesce(try_cast(split_part({t}, 'e', 2) AS INTEGER), 0)"
+    digits = f"rtrim(ltrim(replace({mantissa}, '.', ''), '0'), '0')"
+    exponent = (
+        f"({shift} + CASE WHEN {whole} <> '' THEN length({whole}) - 1 "
+        f"ELSE length(ltrim({part}, '0')) - length({part}) - 1 END)"
+    )
+    return (
+        f"CASE WHEN {c} = 0 THEN '0.0' WHEN abs({c}) >= 1e-3 AND abs({c}) < 1e7 THEN {t} "
+        f"ELSE concat(CASE WHEN {c} < 0 THEN '-' ELSE '' END, left({digits}, 1), '.', "
+        f"CASE WHEN length({digits}) > 1 THEN substr({digits}, 2) ELSE '0' END, 'E', {exponent}) "
+        "END"
+    )
+
+
+def cell_text(c: str, kind: str) -> str:
+    return real_text(c) if type_class(kind) == "floating" else f"CAST({c} AS VARCHAR)"
+
+
 def cells(cols, sampled: int | None = None) -> str:
     """CTE u: one row per cell with its text."""
     parts = []
-    for cid, t, c, _, _ in cols:
+    for cid, t, c, kind, _ in cols:
         origin = sample_of(t, cols, sampled) if sampled else frame_of(t)
-        parts.append(f"SELECT {cid} AS cid, CAST({c} AS VARCHAR) AS v FROM {origin} x{cid}")
+        parts.append(f"SELECT {cid} AS cid, {cell_text(c, kind)} AS v FROM {origin} x{cid}")
     return "u AS (" + " UNION ALL ".join(parts) + ")"
 
 
@@ -306,6 +332,22 @@ def resolve_params_sql() -> str:
     FROM joined"""
 
 
+def column_ranges_sql(cols) -> str:
+    parts = []
+    for cid, t, c, kind, _ in cols:
+        ends = []
+        for name in ("low", "high"):
+            call = "min" if name == "low" else "max"
+            whole = f"CAST({call}({c}) AS BIGINT)" if type_class(kind) == "integral" else "NULL::BIGINT"
+            first = f"{call}(left({c}, 64))" if kind == "VARCHAR" else "NULL::VARCHAR"
+            ends += [f"{whole} AS {name}_int", f"{first} AS {name}_text"]
+        parts.append(
+            f"SELECT {text(t)} AS table_name, {text(c)} AS column_name, count(*) AS row_count, "
+            f"count({c}) AS non_null, {', '.join(ends)} FROM {frame_of(t)} x{cid}"
+        )
+    return " UNION ALL ".join(parts)
+
+
 def kept_sql(condition: str) -> str:
     return (
         f"{counts(columns(TABLES, other=True))} SELECT table_name, column_name, "
@@ -316,7 +358,7 @@ def kept_sql(condition: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     every, plain = columns(TABLES, other=True), columns(TABLES)
-    both, both_fixed = columns(BOTH), columns(BOTH, floating=False)
+    both, lineitem = columns(BOTH), [c for c in plain if c[1] == "lineitem"]
     tables = ", ".join(f"({text(t)}, {text(TABLE_COMMENTS.get(t, ''))})" for t in TABLES)
     listed = f"t(table_name, table_comment) AS (VALUES {tables})"
     cand = f"{profile(plain)} SELECT table_name, column_name, row_count, distinct_values FROM prof"
@@ -349,13 +391,13 @@ def oracle_sql() -> dict[str, str]:
         "column_type_gate_oracle": kept_sql(type_condition("oracle")),
         "complete_columns": f"{counts(columns(BOTH, other=True))} SELECT table_name, column_name, "
         "row_count, non_null FROM meta JOIN counts USING (cid) WHERE non_null = row_count",
-        "gate_avg_len": f"{profile(both_fixed)} SELECT table_name, column_name, row_count, "
+        "gate_avg_len": f"{profile(both)} SELECT table_name, column_name, row_count, "
         "len_sum, len_sum / row_count < 6 AS rejected FROM prof",
         "gate_distinct_ratio": f"{profile(both)} SELECT table_name, column_name, row_count, "
         "groups, groups < row_count * 0.3::DOUBLE AS rejected FROM prof",
         "gate_blank_ratio": f"{profile(both)} SELECT table_name, column_name, row_count, blanks, "
         "blanks / row_count > 0.8::DOUBLE AS rejected FROM prof",
-        "value_gate": f"{profile(both_fixed)} SELECT table_name, column_name, CASE "
+        "value_gate": f"{profile(both)} SELECT table_name, column_name, CASE "
         "WHEN len_sum / row_count < 3 THEN 'avg_len' "
         "WHEN groups < row_count * 0.001::DOUBLE THEN 'distinct_ratio' "
         "WHEN blanks / row_count > 0.8::DOUBLE THEN 'blank_ratio' END AS reject_reason FROM prof",
@@ -368,15 +410,19 @@ def oracle_sql() -> dict[str, str]:
         "FROM prof WHERE is_text",
         "column_profile": f"{profile(plain)} SELECT table_name, column_name, row_count, non_null, "
         f"distinct_values, groups, blanks, ascii_rows, {UNIQUE} AS is_unique FROM prof",
-        "pk_values": f"{profile(columns(TABLES, floating=False))} SELECT table_name, column_name, "
+        "pk_values": f"{profile(plain)} SELECT table_name, column_name, "
         f"v FROM vc JOIN prof USING (cid) WHERE {UNIQUE}",
         "values_long": f"WITH {meta(both)}, {cells(both)} SELECT table_name, column_name, "
         "count(*) AS cells, count(v) AS present FROM u JOIN meta USING (cid) "
         "GROUP BY table_name, column_name",
-        "column_sample": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, "
-        "l_linestatus FROM lineitem ORDER BY " + md5_of(
-            ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
-             "l_linestatus")) + " LIMIT 10000",
+        "column_sample": "SELECT * REPLACE (CAST(l_shipdate AS VARCHAR) AS l_shipdate) FROM "
+        f"{sample_of('lineitem', lineitem, 10_000)}",
+        "column_ranges": column_ranges_sql(both),
+        "pk_screened": f"{cand} WHERE {pk_condition('any')}",
+        "inclusion_nested": f"SELECT CAST(f AS INTEGER) AS fk, CAST(p AS INTEGER) AS pk, "
+        f"CAST(sum(n) AS BIGINT) AS hits FROM (SELECT o_orderkey % {NESTED} AS least, "
+        f"count(*) AS n FROM orders GROUP BY 1), range({NESTED}) f(f), range({NESTED}) p(p) "
+        "WHERE least <= f AND least <= p GROUP BY ALL",
         "pk_candidates": f"{cand} WHERE {pk_condition('any')}",
         "pk_candidates_ascii": f"{cand} WHERE {pk_condition('ascii')}",
         "fk_candidates_unique": f"{cand} WHERE {fk_condition('unique_only')}",
@@ -395,6 +441,15 @@ def oracle_sql() -> dict[str, str]:
         "(f.row_count - hits) / f.row_count AS miss_ratio FROM hits "
         "JOIN prof f ON f.cid = hits.fk JOIN prof p ON p.cid = hits.pk "
         "WHERE f.table_name <> p.table_name",
+        "inclusion_rounds": f"{profile(plain)}, hits AS (SELECT a.cid AS fk, b.cid AS pk, "
+        "CAST(sum(a.cnt) AS BIGINT) AS hits FROM vc a JOIN vc b ON a.v = b.v "
+        f"JOIN (SELECT cid FROM prof WHERE {UNIQUE}) k ON k.cid = b.cid GROUP BY a.cid, b.cid) "
+        "SELECT f.table_name AS fk_table, f.column_name AS fk_column, p.table_name AS pk_table, "
+        "p.column_name AS pk_column, f.row_count, hits, f.row_count - hits AS misses, "
+        "(f.row_count - hits) / f.row_count AS miss_ratio FROM hits "
+        "JOIN prof f ON f.cid = hits.fk JOIN prof p ON p.cid = hits.pk "
+        f"WHERE f.table_name <> p.table_name AND (f.row_count - hits) / f.row_count "
+        f"<= {INCLUSION_TOLERANCE}::DOUBLE",
         "orphan_rows": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS "
         "(SELECT 1 FROM supplier WHERE s_suppkey = o_custkey)",
         "matched_rows": "SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS "

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.tables import COLUMN_COMMENTS, DB, OPTIONAL, TABLE_COMMENTS, TABLES
-from keylink.functions.canonical import FLOATING, family
 from keylink.functions.frames import metadata_frame, union_all
-from keylink.operators import candidates, gates, inclusion, results, values
+from keylink.operators import candidates, gates, inclusion, results, rounds, sketches, values
 from keylink.operators.profile import column_profile, with_uniqueness
 from keylink.params import Params, resolve_params
 from keylink.plans.discover import discover
@@ -51,11 +50,9 @@ def named(spark: SparkSession, src: Source, frame: DataFrame) -> DataFrame:
     return frame.join(names, "cid").drop("cid")
 
 
-def profiled(
-    spark: SparkSession, src: Source, floating: bool = True, text_stats: bool = True
-) -> DataFrame:
+def profiled(spark: SparkSession, src: Source, text_stats: bool = True) -> DataFrame:
     """Profile with names and types of every column that can hold keys."""
-    cols = [c for c in values.key_columns(src) if floating or family(c.dtype) != FLOATING]
+    cols = values.key_columns(src)
     meta = src.columns_frame(spark).select("cid", "table_name", "column_name", "is_text")
     return column_profile(values.value_counts(src, cols, text_stats)).join(meta, "cid")
 
@@ -188,7 +185,7 @@ def complete_columns(spark, sf_dir):
 
 
 def gate_avg_len(spark, sf_dir):
-    profile = profiled(spark, both_sources(spark, sf_dir), floating=False)
+    profile = profiled(spark, both_sources(spark, sf_dir))
     return profile.select(
         "table_name", "column_name", "row_count", "len_sum",
         gates.too_short_text(6).alias("rejected"),
@@ -212,7 +209,7 @@ def gate_blank_ratio(spark, sf_dir):
 
 
 def value_gate(spark, sf_dir):
-    profile = profiled(spark, both_sources(spark, sf_dir), floating=False)
+    profile = profiled(spark, both_sources(spark, sf_dir))
     gated = gates.value_gate(profile, True, 3, 0.001)
     return gated.select("table_name", "column_name", "reject_reason")
 
@@ -252,7 +249,7 @@ def column_profile_query(spark, sf_dir):
 
 def pk_values(spark, sf_dir):
     src = source(spark, sf_dir)
-    unique = profiled(spark, src, floating=False, text_stats=False).filter(candidates.is_pk())
+    unique = profiled(spark, src, text_stats=False).filter(candidates.is_pk())
     keys = {row["cid"] for row in unique.select("cid").collect()}
     return named(spark, src, values.pk_values(src, [c for c in src.columns() if c.cid in keys]))
 
@@ -266,10 +263,9 @@ def values_long(spark, sf_dir):
 
 
 def column_sample(spark, sf_dir):
-    lineitem = source(spark, sf_dir).tables["lineitem"].select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"
-    )
-    return values.column_sample(lineitem, 10_000, lineitem.count(), Workspace(spark))
+    lineitem = source(spark, sf_dir).tables["lineitem"]
+    sample = values.column_sample(lineitem, 10_000, lineitem.count(), Workspace(spark))
+    return sample.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
 
 
 # -- candidates ------------------------------------------------------------------
@@ -328,6 +324,82 @@ def inclusion_misses(spark, sf_dir):
     return inclusion.with_miss_ratio(paired, F.col("row_count")).drop("fk", "pk")
 
 
+def column_ranges(spark, sf_dir):
+    src = both_sources(spark, sf_dir)
+    statistics = sketches.column_statistics(src, values.key_columns(src))
+    return named(spark, src, statistics.drop("distinct_sketch"))
+
+
+def pk_screened(spark, sf_dir):
+    """Keys, counted in full only where statistics and sketches leave them possible."""
+    src, space = source(spark, sf_dir), Workspace(spark)
+    cols = values.key_columns(src)
+    statistics = space.save(sketches.column_statistics(src, cols), "statistics")
+    possible = statistics.filter(sketches.may_be_unique()).select(
+        "cid", sketches.distinct_estimate().alias("estimate")
+    )
+    estimates = {row["cid"]: row["estimate"] for row in possible.collect()}
+    screened = sketches.column_sketches(src, [c for c in cols if c.cid in estimates], estimates)
+    left = {row["cid"] for row in screened.filter(~sketches.repeats()).select("cid").collect()}
+    profile = column_profile(values.value_counts(src, [c for c in cols if c.cid in left]))
+    return named(spark, src, profile.filter(candidates.is_pk())).select(
+        "table_name", "column_name", "row_count", "distinct_values"
+    )
+
+
+INCLUSION_TOLERANCE = 0.05
+
+
+def inclusion_rounds(spark, sf_dir):
+    """Pairs within a tolerance with their misses, tested slice by slice."""
+    src, space = source(spark, sf_dir), Workspace(spark)
+    cols = {c.cid: c for c in values.key_columns(src)}
+    keys = space.save(
+        values.value_counts(src, list(cols.values()), slots=(0, values.SLOTS)), "counts"
+    )
+    profile = column_profile(keys).withColumn("is_text", F.lit(False))
+    roles = candidates.classify(profile).select("cid", "row_count", "pk").collect()
+    pks = [row["cid"] for row in roles if row["pk"]]
+    rest = [row["cid"] for row in roles if not row["pk"]]
+    rows = {row["cid"]: row["row_count"] for row in roles}
+    everything = [(f, p) for f in cols for p in pks if cols[f].table != cols[p].table]
+    tested = rounds.surviving_in_rounds(
+        spark,
+        metadata_frame(spark, everything, "fk int, pk int"),
+        lambda cids, slots: values.value_counts(src, [cols[cid] for cid in cids], slots=slots),
+        rest,
+        keys.filter(F.col("cid").isin(pks)),
+        rows,
+        INCLUSION_TOLERANCE,
+        space,
+    )
+    names = src.columns_frame(spark).select("cid", "table_name", "column_name")
+    counted = metadata_frame(spark, list(rows.items()), "fk int, row_count bigint")
+    paired = (
+        tested.pairs.join(counted, "fk")
+        .join(names.toDF("fk", "fk_table", "fk_column"), "fk")
+        .join(names.toDF("pk", "pk_table", "pk_column"), "pk")
+    )
+    return inclusion.with_miss_ratio(paired, F.col("row_count")).drop("fk", "pk")
+
+
+# Keys 0 to NESTED - 1 of orders: key i has the orders whose number leaves i or less.
+NESTED = 100
+
+
+def inclusion_nested(spark, sf_dir):
+    """Hits of each of many nested keys in each other, through the prefix tree."""
+    least = F.pmod("o_orderkey", F.lit(NESTED)).cast("int")
+    found = source(spark, sf_dir).tables["orders"].select(
+        F.explode(F.sequence(least, F.lit(NESTED - 1))).alias("fk"),
+        F.sequence(least, F.lit(NESTED - 1)).alias("_keys"),
+        F.lit(1).cast("bigint").alias("cnt"),
+    )
+    space = Workspace(spark)
+    per_set = space.save(inclusion.sums_per_set(found), "sets")
+    return inclusion.hits_by_tree(per_set, space)
+
+
 def _one_pair(probe):
     def query(spark, sf_dir):
         tables = source(spark, sf_dir).tables
@@ -348,8 +420,7 @@ RELATIONS = {
     "relations_default_params": Params(),
     "relations_tolerant": U(sup_out_foreign_key=0.05),
     "relations_role_bars": U(not_base_tables=("nation",), not_cite_tables=("lineitem",)),
-    "relations_full": U(inf_tab_len=10, tables=("region", "nation", "customer", "supplier",
-                                                "part", "orders", "lineitem")),
+    "relations_full": U(inf_tab_len=10, tables=TABLES),
     "relations_fixed_base": U(sup_out_foreign_key=0.05, ratio_base="fixed"),
     "relations_sampled": U(sample_rows=1_000, inf_dup_ratio=0.3),
 }
@@ -455,6 +526,10 @@ QUERIES = {
     "fk_candidates_single_role": _fk_query("any", both_roles=False),
     "candidate_pairs": candidate_pairs,
     "inclusion_misses": inclusion_misses,
+    "inclusion_rounds": inclusion_rounds,
+    "inclusion_nested": inclusion_nested,
+    "column_ranges": column_ranges,
+    "pk_screened": pk_screened,
     "orphan_rows": _one_pair(inclusion.orphan_rows),
     "matched_rows": _one_pair(inclusion.matched_rows),
     **{name: _relations_query(params) for name, params in RELATIONS.items()},
