@@ -348,6 +348,20 @@ def column_ranges_sql(cols) -> str:
     return " UNION ALL ".join(parts)
 
 
+def profile_incremental_sql(plain) -> str:
+    """Profile of the rows whose key isn't divisible by three."""
+    thirds = {"orders": "o_orderkey", "events": "event_id"}
+    cols = [c for c in plain if c[1] in thirds]
+    parts = " UNION ALL ".join(
+        f"SELECT {cid} AS cid, {cell_text(c, kind)} AS v FROM {t} WHERE {thirds[t]} % 3 <> 0"
+        for cid, t, c, kind, _ in cols
+    )
+    return (
+        f"WITH {meta(cols)}, u AS ({parts}), {VC}, {PROF} SELECT table_name, column_name, row_count, "
+        f"non_null, distinct_values, groups, blanks, ascii_rows, {UNIQUE} AS is_unique FROM prof"
+    )
+
+
 def kept_sql(condition: str) -> str:
     return (
         f"{counts(columns(TABLES, other=True))} SELECT table_name, column_name, "
@@ -417,6 +431,7 @@ def oracle_sql() -> dict[str, str]:
         "GROUP BY table_name, column_name",
         "column_sample": "SELECT * REPLACE (CAST(l_shipdate AS VARCHAR) AS l_shipdate) FROM "
         f"{sample_of('lineitem', lineitem, 10_000)}",
+        "profile_incremental": profile_incremental_sql(plain),
         "column_ranges": column_ranges_sql(both),
         "pk_screened": f"{cand} WHERE {pk_condition('any')}",
         "inclusion_nested": f"SELECT CAST(f AS INTEGER) AS fk, CAST(p AS INTEGER) AS pk, "

@@ -13,6 +13,7 @@ from keylink.params import Params, resolve_params
 from keylink.plans.discover import discover
 from keylink.sources import catalog
 from keylink.sources.catalog import Source, files_source
+from keylink.sources.counts import CountStore
 from keylink.sources.workspace import Workspace
 
 MODEL = "m1"
@@ -268,6 +269,40 @@ def column_sample(spark, sf_dir):
     return sample.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
 
 
+def profile_incremental(spark, sf_dir):
+    """Profile of two thirds of two tables, after a third was counted and went again.
+
+    The thirds are files in the scratch folder; the second refresh reads the new ones alone.
+    """
+    base, space = source(spark, sf_dir).tables, Workspace(spark)
+    store = CountStore(spark, f"{space.root}/store")
+    thirds = {"orders": "o_orderkey", "events": "event_id"}
+
+    def put(table: str, third: int) -> None:
+        part = base[table].filter(F.pmod(thirds[table], F.lit(3)) == third)
+        part.write.parquet(f"{space.root}/files/{table}.parquet/third-{third}")
+
+    def refreshed() -> Source:
+        options = {"recursiveFileLookup": "true"}
+        src = files_source(spark, f"{space.root}/files", list(thirds), db=DB, options=options)
+        store.refresh(src, values.key_columns(src))
+        return src
+
+    for table in thirds:
+        put(table, 0)
+        put(table, 1)
+    refreshed()
+    for table in thirds:
+        space.remove(f"{space.root}/files/{table}.parquet/third-0")
+        put(table, 2)
+    src = refreshed()
+    profile = column_profile(store.counts(src, values.key_columns(src)))
+    return named(spark, src, with_uniqueness(profile)).select(
+        "table_name", "column_name", "row_count", "non_null", "distinct_values", "groups",
+        "blanks", "ascii_rows", "is_unique",
+    )
+
+
 # -- candidates ------------------------------------------------------------------
 
 
@@ -366,7 +401,9 @@ def inclusion_rounds(spark, sf_dir):
     tested = rounds.surviving_in_rounds(
         spark,
         metadata_frame(spark, everything, "fk int, pk int"),
-        lambda cids, slots: values.value_counts(src, [cols[cid] for cid in cids], slots=slots),
+        lambda cids, slots: space.save(
+            values.value_counts(src, [cols[cid] for cid in cids], slots=slots), "slice"
+        ),
         rest,
         keys.filter(F.col("cid").isin(pks)),
         rows,
@@ -517,6 +554,7 @@ QUERIES = {
     "column_profile": column_profile_query,
     "pk_values": pk_values,
     "values_long": values_long,
+    "profile_incremental": profile_incremental,
     "column_sample": column_sample,
     "pk_candidates": _pk_query("any"),
     "pk_candidates_ascii": _pk_query("ascii"),

@@ -46,7 +46,7 @@ def surviving_in_rounds(
 ) -> Tested:
     """``fk, pk, hits`` of the ``pairs`` within the tolerance.
 
-    ``count`` returns the counted values (``cid, v, cnt, slot``) of some columns in some slots;
+    ``count`` returns the counted values (``cid, v, cnt``, written) of some columns in some slots;
     it is called for columns of ``uncounted``.  Other referring columns, and all keys, are in
     ``key_counts``.  ``read`` has the columns that each round read.
     """
@@ -66,7 +66,7 @@ def surviving_in_rounds(
         keys = key_counts.filter(F.col("slot").between(first, end - 1))
         rows = [keys.filter(F.col("cid").isin(fks)).select("cid", "v", "cnt")]
         if scanned:
-            counted = workspace.save(count(scanned, (first, end)), "slice")
+            counted = count(scanned, (first, end))
             parts.append(counted)
             rows.append(counted.select("cid", "v", "cnt"))
         refs = union_all(rows)

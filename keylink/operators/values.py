@@ -52,11 +52,13 @@ def _scans(
     return scans
 
 
-def _unpivot(frame: DataFrame, items: Sequence[ColumnInfo], parts, names) -> DataFrame:
-    """(cid, parts...) of several columns by one Generate, without a shuffle."""
+def _unpivot(
+    frame: DataFrame, items: Sequence[ColumnInfo], parts, names, beside: Sequence[str] = ()
+) -> DataFrame:
+    """(beside..., cid, parts...) of several columns by one Generate, without a shuffle."""
     labels = ", ".join(("cid", *names))
     cells = ", ".join(f"{c.cid}, {', '.join(parts(c))}" for c in items)
-    return frame.selectExpr(f"stack({len(items)}, {cells}) AS ({labels})")
+    return frame.selectExpr(*beside, f"stack({len(items)}, {cells}) AS ({labels})")
 
 
 def slot_of(c: ColumnInfo) -> str:
@@ -70,6 +72,7 @@ def value_counts(
     text_stats: bool = False,
     table_rows: Mapping[str, int] | None = None,
     slots: tuple[int, int] | None = None,
+    apart: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """``cid, v, cnt``: every distinct value of every column with its row count.
 
@@ -79,8 +82,11 @@ def value_counts(
     the value is plain ASCII (``ascii``) come along, measured on the whole text.
     ``table_rows``, where known, keeps the plan short for small tables.  With
     ``slots`` only values of those slots (first, end) are counted, others are
-    dropped in the scan; ``slot`` comes along.
+    dropped in the scan; ``slot`` comes along.  ``apart`` names expressions over
+    the rows of a table (such as their file) by which they are counted apart.
     """
+    apart = apart or {}
+    beside = [f"{sql} AS {name}" for name, sql in apart.items()]
     grouped: dict[str, list[DataFrame]] = {}
     for (kind, table), items in _scans(columns, table_rows or {}).items():
         frame = source.tables[table]
@@ -91,9 +97,9 @@ def value_counts(
         else:
             parts, names = lambda c: (native_value(c.name, c.dtype),), ("x",)
         if slots is None:
-            long = _unpivot(frame, items, parts, names)
+            long = _unpivot(frame, items, parts, names, beside)
         else:
-            long = _in_slots(frame, items, parts, names, slots)
+            long = _in_slots(frame, items, parts, names, slots, beside)
         grouped.setdefault(kind, []).append(long)
     counted = []
     for kind, parts in grouped.items():
@@ -101,11 +107,11 @@ def value_counts(
         if text_stats and kind == TEXT:
             aggregates += [F.max("chars").alias("chars"), F.max("octets").alias("octets")]
         text = rendered("x", kind)
-        out = ["cid", f"{text} AS v", "cnt"]
+        out = [*apart, "cid", f"{text} AS v", "cnt"]
         if slots is not None:
             aggregates.append(F.max("slot").alias("slot"))
             out.append("slot")
-        counts = union_all(parts).groupBy("cid", "x").agg(*aggregates)
+        counts = union_all(parts).groupBy(*apart, "cid", "x").agg(*aggregates)
         if text_stats and kind == TEXT:
             out += ["chars", "coalesce(chars = octets, false) AS ascii"]
         elif text_stats:
@@ -114,7 +120,9 @@ def value_counts(
     return union_all(counted)
 
 
-def _in_slots(frame: DataFrame, items, parts, names, slots: tuple[int, int]) -> DataFrame:
+def _in_slots(
+    frame: DataFrame, items, parts, names, slots: tuple[int, int], beside: Sequence[str]
+) -> DataFrame:
     """As ``_unpivot``; a cell of another slot is dropped before its parts are worked out."""
     first, end = slots
 
@@ -123,8 +131,8 @@ def _in_slots(frame: DataFrame, items, parts, names, slots: tuple[int, int]) ->
         return (slot_of(c), *[f"CASE WHEN {inside} THEN {part} END" for part in parts(c)])
 
     if slots == (0, SLOTS):
-        return _unpivot(frame, items, lambda c: (slot_of(c), *parts(c)), ("slot", *names))
-    return _unpivot(frame, items, guarded, ("slot", *names)).filter(
+        return _unpivot(frame, items, lambda c: (slot_of(c), *parts(c)), ("slot", *names), beside)
+    return _unpivot(frame, items, guarded, ("slot", *names), beside).filter(
         F.col("slot").between(first, end - 1)
     )
 

@@ -37,9 +37,10 @@ from keylink.operators.sketches import (
     repeats,
     surviving_pairs,
 )
-from keylink.operators.values import SLOTS, column_sample, value_counts
+from keylink.operators.values import SLOTS, column_sample, key_columns, value_counts
 from keylink.params import FIXED_RATIO_BASE, Params
 from keylink.sources.catalog import ColumnInfo, Source, table_row_counts
+from keylink.sources.counts import CountStore, from_files
 from keylink.sources.workspace import Workspace
 
 log = logging.getLogger(__name__)
@@ -73,18 +74,21 @@ def discover(
     params: Params | None = None,
     workspace: Workspace | None = None,
     strategy: str = "auto",
+    store: CountStore | None = None,
 ) -> DataFrame:
     """Relations of ``source`` as a 13-column DataFrame.
 
     ``staged`` rules out keys and pairs by sketches, counts the columns that may
     be keys, and tests the other columns in rounds that leave out what already
     misses every key too often; ``oneshot`` counts all columns at once.  Both
-    give the same rows; ``auto`` goes by the number of cells.
+    give the same rows; ``auto`` goes by the number of cells.  With a ``store``
+    whole columns of tables that are read from files are counted file by file,
+    and files that an earlier run has counted are not read for it again.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
     params = params or Params()
-    run = _Run(spark, source, params, workspace or Workspace(spark))
+    run = _Run(spark, source, params, workspace or Workspace(spark), store)
     run.gate_tables_and_columns()
     if not run.eligible:
         return run.relations(None)
@@ -106,8 +110,9 @@ def discover(
 class _Run:
     """State of one run: column metadata on the driver, values in the workspace."""
 
-    def __init__(self, spark, source: Source, params: Params, workspace: Workspace):
+    def __init__(self, spark, source: Source, params: Params, workspace: Workspace, store=None):
         self.spark = spark
+        self.store: CountStore | None = store
         self.params = params
         self.workspace = workspace
         missing = source.unknown(params.tables)
@@ -254,7 +259,7 @@ class _Run:
 
         def count(cids: Sequence[int], slots: tuple[int, int]) -> DataFrame:
             columns = [self.columns[cid] for cid in cids]
-            return value_counts(self.source, columns, self.text_stats(), self.table_rows, slots)
+            return self.save_counts(self.source, columns, "slice", slots)
 
         tested = surviving_in_rounds(
             self.spark,
@@ -331,9 +336,23 @@ class _Run:
         rows = self.table_rows
         if self.params.sample_rows is not None and source is not self.source:
             rows = {table: min(count, self.params.sample_rows) for table, count in rows.items()}
-        return self.workspace.save(
-            value_counts(source, columns, self.text_stats(), rows, slots), name
-        )
+        kept = [
+            c for c in columns
+            if self.store is not None and source is self.source and from_files(source.tables[c.table])
+        ]
+        rest = [c for c in columns if c not in kept]
+        parts = []
+        if kept:
+            # Whole tables, so that a file is counted once whichever columns a run asks for.
+            tables = {c.table for c in kept}
+            whole = [c for c in key_columns(self.source) if c.table in tables]
+            self.store.refresh(self.source, whole)
+            counted = self.store.counts(self.source, whole, slots)
+            parts.append(counted.filter(F.col("cid").isin([c.cid for c in kept])))
+        if rest:
+            parts.append(value_counts(source, rest, self.text_stats(), rows, slots))
+        shared = [name for name in parts[0].columns if all(name in p.columns for p in parts)]
+        return self.workspace.save(union_all([part.select(*shared) for part in parts]), name)
 
     def gated_profile(self, counts: DataFrame) -> list:
         """One row per counted column: profile, roles and gate (catalog-sized)."""

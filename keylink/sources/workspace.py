@@ -33,15 +33,16 @@ class Workspace:
     def drop(self, *frames: DataFrame) -> None:
         """Removes tables that ``save`` returned and that no later job reads."""
         for path in [p for saved, p in self._saved if any(saved is f for f in frames)]:
-            self._remove(path)
+            self.remove(path)
         self._saved = [x for x in self._saved if not any(x[0] is f for f in frames)]
 
     def clear(self) -> None:
         """Removes all tables."""
         self._saved = []
-        self._remove(self.root)
+        self.remove(self.root)
 
-    def _remove(self, path: str) -> None:
+    def remove(self, path: str) -> None:
+        """Deletes a file or folder of this scratch space."""
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
