@@ -432,6 +432,8 @@ def oracle_sql() -> dict[str, str]:
         "column_sample": "SELECT * REPLACE (CAST(l_shipdate AS VARCHAR) AS l_shipdate) FROM "
         f"{sample_of('lineitem', lineitem, 10_000)}",
         "profile_incremental": profile_incremental_sql(plain),
+        "footer_ranges": "SELECT table_name, column_name, row_count, non_null, low_int, high_int "
+        f"FROM ({column_ranges_sql(both)})",
         "column_ranges": column_ranges_sql(both),
         "pk_screened": f"{cand} WHERE {pk_condition('any')}",
         "inclusion_nested": f"SELECT CAST(f AS INTEGER) AS fk, CAST(p AS INTEGER) AS pk, "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from keylink.plans.discover import discover
 from keylink.sources import catalog
 from keylink.sources.catalog import Source, files_source
 from keylink.sources.counts import CountStore
+from keylink.sources.footers import counts_and_ranges
 from keylink.sources.workspace import Workspace
 
 MODEL = "m1"
@@ -365,6 +368,15 @@ def column_ranges(spark, sf_dir):
     return named(spark, src, statistics.drop("distinct_sketch"))
 
 
+def footer_ranges(spark, sf_dir):
+    """Counts and integer ranges, from footers as far as the tables are files."""
+    src = both_sources(spark, sf_dir)
+    src = replace(src, stored=source(spark, sf_dir).stored)
+    stored = {name: (src.tables[name], path) for name, (_, path) in src.stored.items()}
+    src = replace(src, stored=stored)
+    return named(spark, src, counts_and_ranges(spark, src, values.key_columns(src)))
+
+
 def pk_screened(spark, sf_dir):
     """Keys, counted in full only where statistics and sketches leave them possible."""
     src, space = source(spark, sf_dir), Workspace(spark)
@@ -567,6 +579,7 @@ QUERIES = {
     "inclusion_rounds": inclusion_rounds,
     "inclusion_nested": inclusion_nested,
     "column_ranges": column_ranges,
+    "footer_ranges": footer_ranges,
     "pk_screened": pk_screened,
     "orphan_rows": _one_pair(inclusion.orphan_rows),
     "matched_rows": _one_pair(inclusion.matched_rows),

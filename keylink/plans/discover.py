@@ -41,6 +41,7 @@ from keylink.operators.values import SLOTS, column_sample, key_columns, value_co
 from keylink.params import FIXED_RATIO_BASE, Params
 from keylink.sources.catalog import ColumnInfo, Source, table_row_counts
 from keylink.sources.counts import CountStore, from_files
+from keylink.sources.footers import from_footers, no_key
 from keylink.sources.workspace import Workspace
 
 log = logging.getLogger(__name__)
@@ -96,7 +97,8 @@ def discover(
     # Where only keys are counted in full, ruling some out pays on small data too.
     keys_only = params.sample_rows is not None or params.class_policy == "unique_only"
     if staged or (strategy == "auto" and keys_only):
-        run.take_statistics()
+        run.look_at_footers()
+        run.take_statistics(all_columns=staged and params.sample_rows is None)
     if staged and params.sample_rows is None:
         run.refute_pairs()
     run.count_possible_keys(with_slots=staged)
@@ -170,11 +172,17 @@ class _Run:
 
     # -- before any value is shuffled ------------------------------------------
 
-    def take_statistics(self) -> None:
+    def look_at_footers(self) -> None:
+        """Rules out keys by what Parquet footers say of them; reads no values."""
+        found, _ = from_footers(self.spark, self.source, self.eligible)
+        self.not_keys |= {row[0] for row in found if no_key(row)}
+
+    def take_statistics(self, all_columns: bool) -> None:
         """Rows, NULLs and estimates of distinct values; rules out keys."""
-        self.statistics = self.workspace.save(
-            column_statistics(self.source, self.eligible), "statistics"
-        )
+        asked = [c for c in self.eligible if all_columns or c.cid not in self.not_keys]
+        if not asked:
+            return
+        self.statistics = self.workspace.save(column_statistics(self.source, asked), "statistics")
         judged = self.statistics.select(
             "cid", may_be_unique().alias("possible"), distinct_estimate().alias("estimate")
         )

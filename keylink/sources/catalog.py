@@ -62,6 +62,7 @@ class Source:
     ``declared_types`` overrides the Spark type name of a column where the
     source declares something finer (``VARCHAR2`` of a remote database).
     ``unreadable`` names tables that were asked for but could not be opened.
+    ``stored`` has the frame and the path of tables that are plain Parquet files.
     """
 
     db: str
@@ -70,6 +71,12 @@ class Source:
     column_comments: Mapping[tuple[str, str], str] = field(default_factory=dict)
     declared_types: Mapping[tuple[str, str], str] = field(default_factory=dict)
     unreadable: tuple[str, ...] = ()
+    stored: Mapping[str, tuple[DataFrame, str]] = field(default_factory=dict)
+
+    def parquet_path(self, table: str) -> str | None:
+        """Where the rows of a table lie, as long as the table is all of them."""
+        frame, path = self.stored.get(table, (None, None))
+        return path if frame is not None and self.tables.get(table) is frame else None
 
     def subset(self, names: Iterable[str]) -> Source:
         wanted = set(names)
@@ -213,7 +220,9 @@ def files_source(
         return reader.load(f"{path}/{name}.{fmt}")
 
     tables, unreadable = open_tables(names, load)
-    return Source(db=db, tables=tables, unreadable=unreadable, **metadata)
+    plain = tables if fmt == "parquet" and not options else {}
+    stored = {name: (frame, f"{path}/{name}.{fmt}") for name, frame in plain.items()}
+    return Source(db=db, tables=tables, unreadable=unreadable, stored=stored, **metadata)
 
 
 def open_tables(
