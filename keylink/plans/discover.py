@@ -29,6 +29,7 @@ from keylink.operators.inclusion import (
 )
 from keylink.operators.profile import column_profile
 from keylink.operators.rounds import ROUNDS, surviving_in_rounds
+from keylink.operators.samples import sampled_counts
 from keylink.operators.sketches import (
     column_sketches,
     column_statistics,
@@ -300,15 +301,35 @@ class _Run:
         if not refs or not self.pks:
             self.fks = []
             return
-        sampled = self.samples_of({c.table for c in refs})
-        sample = replace(self.source, tables={**self.source.tables, **sampled})
-        self.fk_counts = self.save_counts(sample, refs, "sample")
+        self.fk_counts = self.counts_of_samples(refs)
         self.fks = []
         for row in self.gated_profile(self.fk_counts):
             self.tested[row["cid"]] = row["row_count"]
             if row["reject_reason"] is None:
                 self.fks.append(row["cid"])
 
+    def counts_of_samples(self, refs: Sequence[ColumnInfo]) -> DataFrame:
+        """Counts of the samples of all tables at once, where lengths of texts aren't asked for."""
+        parts, rest = [], refs
+        if not self.text_stats():
+            hashed = {
+                c.table: [x.name for x in self.eligible if x.table == c.table] for c in refs
+            }
+            done = sampled_counts(
+                self.source, refs, hashed, self.params.sample_rows, self.table_rows, self.workspace
+            )
+            rest = [c for c in refs if c.table in done.unsettled]
+            if done.counts is not None:
+                parts.append(done.counts)
+        if rest:
+            sampled = self.samples_of({c.table for c in rest})
+            sample = replace(self.source, tables={**self.source.tables, **sampled})
+            parts.append(self.save_counts(sample, rest, "sample"))
+        if rest == refs:
+            return parts[0]
+        counts = [part.select("cid", "v", "cnt") for part in parts]
+        return self.workspace.save(union_all(counts), "samples")
+
     def samples_of(self, tables: set[str]) -> dict[str, DataFrame]:
         def sample(table: str) -> DataFrame:
             frame = self.source.tables[table].select(
