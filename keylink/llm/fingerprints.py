@@ -184,9 +184,11 @@ def compare_with_edits(
         F.struct(F.lit(0).alias("side"), F.col("text").alias("t")),
         F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")),
     )
-    keys = ["bucket", "ord", "guard", "side"]
-    texts = rows.select("bucket", "ord", "guard", F.explode(sides).alias("s")).select(
-        "bucket", "ord", "guard", "s.side", terms(F.col("s.t")).alias("terms")
+    # doc is carried along so that votes and facts below ask for the same columns, and share one
+    # shuffle of the texts
+    keys = ["bucket", "ord", "guard", "side", "doc"]
+    texts = rows.select("bucket", "ord", "guard", "doc", F.explode(sides).alias("s")).select(
+        "bucket", "ord", "guard", "s.side", "doc", terms(F.col("s.t")).alias("terms")
     )
     prints = votes(texts.filter("not guard or side = 0"), keys)
     by_row = prints.groupBy("bucket", "ord", "guard").agg(
