@@ -35,20 +35,32 @@ def run_model(
 
     A run that finds nothing still replaces the old automatic rows and closes
     its status; a run that fails is marked ``failed`` and changes no results.
+    If another run of the model commits in between, the found relations are
+    compared with its results and written again.
     """
     model = params.model_id
     started = now or datetime.now()
-    run = store.last_run(model) + 1
+    run = store.claim_run(model)
     about = {"algorithm_name": algorithm_name, "execute_obj": execute_obj, "start_time": started}
     store.append_status(model, run, RUNNING, **about)
     try:
         workspace = Workspace(spark)
         found = discover(spark, source, params, workspace, **discover_options)
-        previous = store.previous(model)
-        rows = result_rows(found, F.lit(started).cast("timestamp"))
-        current = workspace.save(relation_status(rows, previous), "relations")
+        rows = workspace.save(
+            result_rows(found, F.lit(started).cast("timestamp")), "relations"
+        )
         models = metadata_frame(spark, [(model,)], "model string")
-        store.write_results(replace_relations(previous, current, models), run)
+        while True:
+            version, last = store.version(model)
+            previous = store.previous(model, last)
+            current = workspace.save(relation_status(rows, previous), "compared")
+            store.write_results(replace_relations(previous, current, models), run)
+            if store.commit(model, run, version):
+                break
+            # Rows that no version names are never read; the next try has its own number.
+            store.append_status(model, run, FAILED, **about, end_time=now or datetime.now())
+            run = store.claim_run(model)
+            store.append_status(model, run, RUNNING, **about)
         counts = run_summary(current).first()
         store.append_status(
             model,

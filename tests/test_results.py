@@ -86,6 +86,7 @@ def test_runs_of_one_model(spark, tmp_path):
     stored = metadata_frame(spark, [tuple(edited.values())], RESULTS_SCHEMA.replace(", run int", ""))
     store.write_results(stored, 2)
     store.append_status("m", 2, DONE)
+    assert store.commit("m", 2, store.version("m")[0])
     second = Source("db", {**first.tables, "g": spark.range(20).selectExpr("id % 7 AS y")})
     run_model(spark, second, store, params, now=NOW)
     rows = {(r["table2"], r["scantype"], r["status"]) for r in store.previous("m").collect()}
@@ -123,3 +124,45 @@ def test_key_values_are_reused_until_the_column_changes(spark, tmp_path):
     got = store.values(changed, columns).groupBy("pk_table").agg({"v": "max"}).collect()
     assert {r[0]: r[1] for r in got} == {"k": "9", "h": "4"}
     assert store.values(changed, columns).filter("pk_table = 'k' AND v = '10'").count() == 1
+
+
+def test_two_runs_at_the_same_time(spark, tmp_path, monkeypatch):
+    """The second run commits while the first is still at work; both stay whole."""
+    from keylink.plans import lifecycle
+
+    store = ResultStore(spark, str(tmp_path / "store"))
+    params = Params.ungated(model_id="m")
+    key = spark.range(10).withColumnRenamed("id", "k")
+    first = Source("db", {"k": key, "f": spark.range(20).selectExpr("id % 5 AS x")})
+    second = Source("db", {"k": key, "g": spark.range(20).selectExpr("id % 7 AS y")})
+    plain, inside = lifecycle.replace_relations, []
+
+    def once(*args):
+        monkeypatch.setattr(lifecycle, "replace_relations", plain)
+        inside.append(run_model(spark, second, store, params, now=NOW).count())
+        return plain(*args)
+
+    monkeypatch.setattr(lifecycle, "replace_relations", once)
+    run_model(spark, first, store, params, now=NOW)
+    assert inside == [1]
+    assert store.version("m") == (2, 3)
+    log = {(r["run"], r["analysis_status"]) for r in store.status_log().collect()}
+    assert {(2, DONE), (1, FAILED), (3, DONE)} <= log
+    # each version holds the relations of one run, none of both
+    assert {r["table2"] for r in store.previous("m", 2).collect()} == {"g"}
+    assert {r["table2"] for r in store.previous("m").collect()} == {"f"}
+    status = store.statuses().first()
+    assert (status["run"], status["relation_num"], status["new_relation_num"]) == (3, 1, 1)
+
+
+def test_claims_and_commits_are_exclusive(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    stores = [ResultStore(spark, str(tmp_path / "store")) for _ in range(6)]
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        numbers = list(pool.map(lambda s: s.claim_run("a/b ü"), stores))
+        assert sorted(numbers) == [1, 2, 3, 4, 5, 6]
+        won = list(pool.map(lambda s: s.commit("a/b ü", 1 + stores.index(s), 0), stores))
+    assert won.count(True) == 1
+    version, run = stores[0].version("a/b ü")
+    assert version == 1 and won[run - 1] and stores[0].version("other") == (0, 0)
