@@ -10,6 +10,7 @@ from __future__ import annotations
 from checks.queries import (
     CONFIG_COLUMNS,
     INCLUSION_TOLERANCE,
+    MANY_MODELS,
     MODEL,
     NAME_RULES,
     NESTED,
@@ -292,6 +293,7 @@ def results_sql() -> dict[str, str]:
         "relation_removed": f"{cur}, prev AS ("
         f"{stored_form(RELATIONS['relations_tolerant'])}) SELECT {SHOWN} FROM prev a "
         f"WHERE NOT EXISTS (SELECT 1 FROM cur b WHERE {MATCH})",
+        "relation_history": history_sql(),
         "relation_replace": f"{cur}, {stored}, {marked.format(old='stored', new='cur')}, "
         f"kept AS (SELECT * FROM stored WHERE model <> '{MODEL}' OR scantype <> 0) "
         f"SELECT id, {SHOWN} FROM kept UNION ALL SELECT id, {SHOWN} FROM marked a "
@@ -304,6 +306,28 @@ def results_sql() -> dict[str, str]:
     }
 
 
+def history_sql() -> str:
+    """Intervals by looking at each run and at its neighbours."""
+    key = f"model, {KEY}"
+    exact, tolerant = (
+        f"({stored_form(RELATIONS[name])})" for name in ("relations_any", "relations_tolerant")
+    )
+    here = "EXISTS (SELECT 1 FROM seen b WHERE b.run = a.run {step} 1 AND " + MATCH + ")"
+    return (
+        f"WITH seen AS (SELECT {key}, 1 AS run FROM {exact} WHERE table1 < 'o' UNION ALL "
+        f"SELECT {key}, 2 FROM {tolerant} WHERE table2 <> 'nation' UNION ALL "
+        f"SELECT {key}, 3 FROM {exact}), "
+        f"edges AS (SELECT *, NOT {here.format(step='-')} AS opens, "
+        f"NOT {here.format(step='+')} AS closes FROM seen a), "
+        f"o AS (SELECT {key}, run, row_number() OVER (PARTITION BY {key} ORDER BY run) AS i "
+        f"FROM edges WHERE opens), "
+        f"c AS (SELECT {key}, run, row_number() OVER (PARTITION BY {key} ORDER BY run) AS i "
+        f"FROM edges WHERE closes) "
+        f"SELECT {', '.join(f'o.{x}' for x in key.split(', '))}, o.run AS valid_from, "
+        f"CASE WHEN c.run < 3 THEN c.run + 1 END AS valid_to FROM o JOIN c USING ({key}, i)"
+    )
+
+
 def resolve_params_sql() -> str:
     rules = ", ".join(f"'{r}'" for r in DEFAULT_NAME_RULES["_"])
 
@@ -426,6 +450,8 @@ def oracle_sql() -> dict[str, str]:
         f"distinct_values, groups, blanks, ascii_rows, {UNIQUE} AS is_unique FROM prof",
         "pk_values": f"{profile(plain)} SELECT table_name, column_name, "
         f"v FROM vc JOIN prof USING (cid) WHERE {UNIQUE}",
+        "keys_kept": f"{profile(plain)} SELECT table_name AS pk_table, column_name AS pk_column, "
+        f"v FROM vc JOIN prof USING (cid) WHERE {UNIQUE}",
         "values_long": f"WITH {meta(both)}, {cells(both)} SELECT table_name, column_name, "
         "count(*) AS cells, count(v) AS present FROM u JOIN meta USING (cid) "
         "GROUP BY table_name, column_name",
@@ -473,5 +499,8 @@ def oracle_sql() -> dict[str, str]:
         "(SELECT 1 FROM supplier WHERE s_suppkey = o_custkey)",
         **{name: relations(params) for name, params in RELATIONS.items()},
         **{f"{name}_staged": relations(RELATIONS[name]) for name in STAGED},
+        "relations_many_models": " UNION ALL ".join(
+            f"SELECT * FROM ({relations(p, name)})" for name, p in MANY_MODELS.items()
+        ),
         **results_sql(),
     }

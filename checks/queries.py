@@ -9,14 +9,24 @@ from pyspark.sql import functions as F
 
 from checks.tables import COLUMN_COMMENTS, DB, OPTIONAL, TABLE_COMMENTS, TABLES
 from keylink.functions.frames import metadata_frame, union_all
-from keylink.operators import candidates, gates, inclusion, results, rounds, sketches, values
+from keylink.operators import (
+    candidates,
+    gates,
+    history,
+    inclusion,
+    results,
+    rounds,
+    sketches,
+    values,
+)
 from keylink.operators.profile import column_profile, with_uniqueness
 from keylink.params import Params, resolve_params
-from keylink.plans.discover import discover
+from keylink.plans.discover import discover, discover_many
 from keylink.sources import catalog
 from keylink.sources.catalog import Source, files_source
 from keylink.sources.counts import CountStore
 from keylink.sources.footers import counts_and_ranges
+from keylink.sources.store import KeyStore
 from keylink.sources.workspace import Workspace
 
 MODEL = "m1"
@@ -258,6 +268,17 @@ def pk_values(spark, sf_dir):
     return named(spark, src, values.pk_values(src, [c for c in src.columns() if c.cid in keys]))
 
 
+def keys_kept(spark, sf_dir):
+    """Key values out of the store, after a first call has put them there."""
+    src, space = source(spark, sf_dir), Workspace(spark)
+    unique = profiled(spark, src, text_stats=False).filter(candidates.is_pk())
+    cids = {row["cid"] for row in unique.select("cid").collect()}
+    keys = [c for c in src.columns() if c.cid in cids]
+    store = KeyStore(spark, f"{space.root}/keys")
+    store.materialize(src, keys)
+    return store.values(src, keys)
+
+
 def values_long(spark, sf_dir):
     src = both_sources(spark, sf_dir)
     cells = values.values_long(src, values.key_columns(src)).groupBy("cid").agg(
@@ -485,6 +506,23 @@ def _relations_query(params, **options):
     return query
 
 
+# Models of one shared discovery: other gates, roles, tables, tolerances and policies.
+MANY_MODELS = {
+    "plain": U(),
+    "gated": Params(),
+    "loose": U(sup_out_foreign_key=0.05, ratio_base="fixed"),
+    "unique": U(class_policy="unique_only"),
+    "ascii": U(class_policy="ascii", use_str_len=True, inf_str_len=0),
+    "few": U(tables=("orders", "customer", "nation", "labels"), not_cite_tables=("labels",)),
+    "typed": U(type_policy="mysql"),
+}
+
+
+def relations_many_models(spark, sf_dir):
+    models = [replace(p, model_id=name) for name, p in MANY_MODELS.items()]
+    return discover_many(spark, source(spark, sf_dir), models)
+
+
 # -- results ---------------------------------------------------------------------
 
 
@@ -534,6 +572,15 @@ def relation_replace(spark, sf_dir):
     return results.replace_relations(stored, marked, models).select("id", *SHOWN)
 
 
+def relation_history(spark, sf_dir):
+    """Three runs: exact relations of the first tables, tolerant ones of all but nation, exact ones."""
+    exact = _found(spark, sf_dir, "exact")
+    tolerant = _found(spark, sf_dir, "tolerant", sup_out_foreign_key=0.05)
+    runs = [exact.filter("table1 < 'o'"), tolerant.filter("table2 <> 'nation'"), exact]
+    numbered = [frame.withColumn("run", F.lit(i + 1)) for i, frame in enumerate(runs)]
+    return history.relation_history(union_all(numbered), [1, 2, 3])
+
+
 def run_summary(spark, sf_dir):
     current = _found(spark, sf_dir, "current")
     stored = _stored(current)
@@ -565,6 +612,7 @@ QUERIES = {
     "column_ascii": column_ascii,
     "column_profile": column_profile_query,
     "pk_values": pk_values,
+    "keys_kept": keys_kept,
     "values_long": values_long,
     "profile_incremental": profile_incremental,
     "column_sample": column_sample,
@@ -591,6 +639,8 @@ QUERIES = {
     "relation_status": relation_status,
     "relation_new": relation_new,
     "relation_removed": relation_removed,
+    "relation_history": relation_history,
+    "relations_many_models": relations_many_models,
     "relation_replace": relation_replace,
     "run_summary": run_summary,
 }

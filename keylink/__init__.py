@@ -1,7 +1,7 @@
 """keylink: finds how the tables of a database relate, by looking at their data."""
 
 from keylink.params import Params, resolve_params
-from keylink.plans.discover import discover
+from keylink.plans.discover import discover, discover_many
 from keylink.sources.catalog import Source, files_source, spark_catalog_source
 from keylink.sources.workspace import Workspace
 
@@ -10,6 +10,7 @@ __all__ = [
     "Source",
     "Workspace",
     "discover",
+    "discover_many",
     "files_source",
     "resolve_params",
     "spark_catalog_source",

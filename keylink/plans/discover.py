@@ -8,7 +8,7 @@ and by ``value`` once to test inclusion.
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
@@ -110,10 +110,53 @@ def discover(
     return run.relations(run.hits())
 
 
+def discover_many(
+    spark: SparkSession,
+    source: Source,
+    models: Sequence[Params],
+    workspace: Workspace | None = None,
+    store: CountStore | None = None,
+) -> DataFrame:
+    """Relations of several models, as if each were discovered alone.
+
+    Every column that some model admits is counted once, and values meet once for
+    all models; gates, roles and tolerances then apply model by model to profiles
+    and hits, which are catalog-sized.  Models that test samples count their own.
+    """
+    workspace = workspace or Workspace(spark)
+    results = [
+        discover(spark, source, p, workspace, store=store) for p in models if p.sample_rows is not None
+    ]
+    runs = [
+        _Run(spark, source, p, workspace, store, whole=True) for p in models if p.sample_rows is None
+    ]
+    if runs and source.tables:
+        rows = workspace.save(table_row_counts(source), "rows")
+        for run in runs:
+            run.gate_tables_and_columns(rows)
+    eligible = {c.cid: c for run in runs for c in run.eligible}
+    hits = None
+    if eligible:
+        first = runs[0]
+        table_rows = {t: n for run in runs for t, n in run.table_rows.items()}
+        stats = any(run.text_stats() for run in runs)
+        counts = first.save_counts(source, list(eligible.values()), "counts", None, table_rows, stats)
+        profile = workspace.save(column_profile(counts), "profile")
+        for run in runs:
+            cids = [c.cid for c in run.eligible]
+            run.take_profiles(profile.filter(F.col("cid").isin(cids)), profiled=True)
+        fks, pks = ({cid for run in runs for cid in getattr(run, role)} for role in ("fks", "pks"))
+        if fks and pks:
+            met = hits_by_pair(shared_rows(counts, sorted(fks), sorted(pks)), len(pks), workspace)
+            hits = workspace.save(met, "hits")
+    return union_all([*results, *[run.relations(hits) for run in runs]])
+
+
 class _Run:
     """State of one run: column metadata on the driver, values in the workspace."""
 
-    def __init__(self, spark, source: Source, params: Params, workspace: Workspace, store=None):
+    def __init__(self, spark, source: Source, params: Params, workspace: Workspace, store=None, whole=False):
+        """``whole`` keeps all tables in the source, so that runs number columns alike."""
         self.spark = spark
         self.store: CountStore | None = store
         self.params = params
@@ -121,7 +164,7 @@ class _Run:
         missing = source.unknown(params.tables)
         if missing:
             log.warning("unknown tables left out: %s", ", ".join(missing))
-        self.source = source.subset(params.tables) if params.tables else source
+        self.source = source.subset(params.tables) if params.tables and not whole else source
         self.columns = {c.cid: c for c in self.source.columns()}
         self.eligible: list[ColumnInfo] = []
         self.table_rows: dict[str, int] = {}
@@ -141,11 +184,14 @@ class _Run:
 
     # -- metadata gates ------------------------------------------------------
 
-    def gate_tables_and_columns(self) -> None:
+    def gate_tables_and_columns(self, counted: DataFrame | None = None) -> None:
         if not self.source.tables:
             return
         p = self.params
-        gated = table_gate(table_row_counts(self.source), p.inf_tab_len, p.max_rows).collect()
+        counted = table_row_counts(self.source) if counted is None else counted
+        if p.tables:
+            counted = counted.filter(F.col("table_name").isin(list(p.tables)))
+        gated = table_gate(counted, p.inf_tab_len, p.max_rows).collect()
         for row in gated:
             if row["reason"] == "ok":
                 self.table_rows[row["table_name"]] = row["row_count"]
@@ -361,8 +407,11 @@ class _Run:
         columns: Sequence[ColumnInfo],
         name: str,
         slots: tuple[int, int] | None = None,
+        rows: Mapping[str, int] | None = None,
+        text_stats: bool | None = None,
     ) -> DataFrame:
-        rows = self.table_rows
+        rows = self.table_rows if rows is None else rows
+        text_stats = self.text_stats() if text_stats is None else text_stats
         if self.params.sample_rows is not None and source is not self.source:
             rows = {table: min(count, self.params.sample_rows) for table, count in rows.items()}
         kept = [
@@ -379,26 +428,26 @@ class _Run:
             counted = self.store.counts(self.source, whole, slots)
             parts.append(counted.filter(F.col("cid").isin([c.cid for c in kept])))
         if rest:
-            parts.append(value_counts(source, rest, self.text_stats(), rows, slots))
+            parts.append(value_counts(source, rest, text_stats, rows, slots))
         shared = [name for name in parts[0].columns if all(name in p.columns for p in parts)]
         return self.workspace.save(union_all([part.select(*shared) for part in parts]), name)
 
-    def gated_profile(self, counts: DataFrame) -> list:
+    def gated_profile(self, counts: DataFrame, profiled: bool = False) -> list:
         """One row per counted column: profile, roles and gate (catalog-sized)."""
         p = self.params
         catalog = self.source.columns_frame(self.spark).select("cid", "is_text")
-        profiled = column_profile(counts).join(catalog, "cid")
+        profile = counts if profiled else column_profile(counts)
         return value_gate(
-            classify(profiled, p.class_policy, p.both_roles),
+            classify(profile.join(catalog, "cid"), p.class_policy, p.both_roles),
             p.use_str_len,
             p.inf_str_len,
             p.inf_dup_ratio,
             p.max_blank_ratio,
         ).collect()
 
-    def take_profiles(self, counts: DataFrame, keys: bool = True) -> None:
+    def take_profiles(self, counts: DataFrame, keys: bool = True, profiled: bool = False) -> None:
         gates_apply = self.params.sample_rows is None
-        for row in self.gated_profile(counts):
+        for row in self.gated_profile(counts, profiled):
             c = self.columns[row["cid"]]
             self.distinct[c.cid] = row["distinct_values"]
             self.tested[c.cid] = row["row_count"]
