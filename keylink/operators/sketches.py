@@ -18,7 +18,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keylink.functions.canonical import INTEGRAL, TEXT, canonical_text, family, quoted
+from keylink.functions.canonical import (
+    INTEGRAL,
+    TEXT,
+    canonical_text,
+    family,
+    native_value,
+    quoted,
+)
 from keylink.functions.frames import metadata_frame, union_all
 from keylink.operators.inclusion import hits_by_pair
 from keylink.sources.catalog import ColumnInfo, Source
@@ -59,10 +66,12 @@ def column_statistics(source: Source, columns: Sequence[ColumnInfo]) -> DataFram
         aggregates, cells = [], []
         for c in items:
             kind, text = family(c.dtype), canonical_text(c.name, c.dtype)
+            # Hashes in place of values: the sketch takes few types, and skips empty texts.
+            value = text if kind == TEXT else native_value(c.name, c.dtype)
+            hashed = f"CASE WHEN {quoted(c.name)} IS NOT NULL THEN xxhash64({value}) END"
             aggregates += [
                 f"count({quoted(c.name)}) AS n{c.cid}",
-                # the sketch skips empty texts, so no text is left empty
-                f"hll_sketch_agg(concat({text}, '.'), {HLL_BITS}) AS d{c.cid}",
+                f"hll_sketch_agg({hashed}, {HLL_BITS}) AS d{c.cid}",
             ]
             ranges = ["CAST(NULL AS BIGINT)"] * 2 + ["CAST(NULL AS STRING)"] * 2
             if kind == INTEGRAL:

@@ -95,11 +95,9 @@ def discover(
     if not run.eligible:
         return run.relations(None)
     staged = strategy == "staged" or (strategy == "auto" and run.cells() >= STAGED_FROM_CELLS)
-    # Where only keys are counted in full, ruling some out pays on small data too.
-    keys_only = params.sample_rows is not None or params.class_policy == "unique_only"
-    if staged or (strategy == "auto" and keys_only):
+    if staged:
         run.look_at_footers()
-        run.take_statistics(all_columns=staged and params.sample_rows is None)
+        run.take_statistics(all_columns=params.sample_rows is None)
     if staged and params.sample_rows is None:
         run.refute_pairs()
     run.count_possible_keys(with_slots=staged)
