@@ -4,7 +4,9 @@ Markup is cut into blocks at block elements; scripts, styles, forms and other el
 never become blocks. A block has its word count and link density, those of its neighbours, and
 whether it lies in an article, in an element named for page furniture, or in a heading. A decision
 tree, fitted by Spark ML on the small labelled table below, keeps or drops each block. The tree goes
-to the tasks as a few thresholds, so a page is read once and nothing is shuffled.
+to the tasks as a few thresholds, so a page is read once and nothing is shuffled. Names that an
+article's own parts bear as well (``related-work``, ``legal``) make furniture outside of articles alone.
+A block of links in an article is kept where its neighbours are prose, and dropped in a list of links.
 
 Elements without prose go up to their own closing tag. Without one, scripts, styles and other raw text
 run to the end, as in HTML; forms, selects, buttons, objects and the like go only as a tag, and so does
@@ -41,6 +43,19 @@ LABELLED = [
     (60, 0, 55, 0, 48, 0, 0, 0, 0, 1), (35, 3, 80, 0, 70, 0, 0, 0, 0, 1), (22, 0, 40, 0, 38, 0, 0, 0, 0, 1),
     (9, 0, 2, 100, 60, 0, 0, 0, 1, 1), (90, 12, 7, 0, 4, 0, 0, 0, 0, 1), (14, 0, 50, 0, 45, 0, 0, 0, 0, 1),
     (18, 5, 90, 2, 40, 0, 0, 0, 0, 1), (5, 0, 45, 0, 50, 0, 0, 0, 1, 1), (41, 0, 9, 0, 2, 0, 0, 0, 0, 1),
+    (12, 100, 40, 0, 50, 0, 1, 0, 0, 1), (5, 100, 60, 0, 30, 0, 1, 0, 0, 1), (8, 100, 30, 5, 45, 10, 1, 0, 0, 1),
+    (3, 100, 20, 0, 15, 0, 1, 0, 0, 1), (20, 90, 35, 0, 80, 0, 1, 0, 0, 1), (6, 70, 12, 20, 9, 15, 1, 0, 0, 1),
+    (4, 100, 8, 0, 70, 3, 1, 0, 0, 1), (9, 100, 70, 0, 3, 0, 1, 0, 0, 1), (2, 60, 25, 0, 4, 33, 1, 0, 0, 1),
+    (19, 0, 0, 0, 8, 100, 1, 0, 0, 1), (19, 0, 8, 100, 0, 0, 1, 0, 0, 1), (40, 0, 5, 100, 6, 100, 1, 0, 0, 1),
+    (55, 5, 30, 0, 3, 100, 1, 0, 0, 1), (7, 0, 2, 100, 50, 0, 1, 0, 0, 1), (33, 0, 4, 100, 12, 90, 1, 0, 0, 1),
+    (3, 0, 6, 100, 4, 100, 1, 0, 0, 1), (80, 12, 0, 0, 2, 100, 1, 0, 0, 1), (28, 0, 14, 80, 3, 0, 1, 0, 0, 1),
+    (45, 0, 30, 0, 3, 100, 0, 0, 0, 1), (60, 5, 50, 0, 2, 100, 0, 0, 0, 1), (25, 0, 2, 100, 4, 100, 0, 0, 0, 1),
+    (100, 3, 0, 0, 1, 100, 0, 0, 0, 1), (18, 0, 40, 0, 6, 80, 0, 0, 0, 1), (30, 8, 25, 0, 12, 60, 0, 0, 0, 1),
+    (70, 0, 3, 100, 1, 100, 0, 0, 0, 1), (16, 0, 22, 0, 2, 100, 0, 0, 0, 1), (36, 2, 6, 70, 5, 90, 0, 0, 0, 1),
+    (1, 0, 0, 0, 0, 0, 0, 0, 0, 1), (4, 0, 0, 0, 0, 0, 0, 0, 0, 1), (8, 0, 0, 0, 0, 0, 0, 0, 0, 1),
+    (15, 10, 0, 0, 0, 0, 0, 0, 0, 1), (3, 33, 0, 0, 0, 0, 0, 0, 0, 1),
+    (6, 100, 5, 100, 4, 100, 1, 0, 0, 0), (9, 80, 4, 100, 60, 0, 1, 0, 0, 0), (7, 100, 45, 0, 8, 100, 1, 0, 0, 0),
+    (12, 95, 3, 90, 5, 80, 1, 0, 0, 0), (2, 100, 30, 0, 6, 85, 1, 0, 0, 0), (5, 75, 6, 70, 20, 0, 1, 0, 0, 0),
     (3, 100, 50, 0, 2, 100, 1, 0, 0, 0), (2, 100, 2, 100, 3, 100, 1, 0, 0, 0), (4, 100, 1, 100, 40, 0, 1, 0, 0, 0),
     (1, 100, 1, 100, 1, 100, 0, 1, 0, 0), (2, 100, 0, 0, 1, 100, 0, 1, 0, 0), (9, 0, 1, 100, 8, 0, 0, 1, 0, 0),
     (14, 0, 30, 0, 0, 0, 0, 1, 0, 0), (40, 0, 20, 0, 30, 0, 0, 1, 0, 0), (70, 2, 60, 0, 50, 0, 0, 1, 0, 0),
@@ -66,9 +81,14 @@ VOID = frozenset("hr br img input meta link area base col embed source track wbr
 FURNITURE = frozenset("nav aside footer menu dialog".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|banner|promo|nav|navbar|navigation|menu|"
-    r"sidebar|side|footer|header|masthead|breadcrumbs?|comments?|disqus|replies|notice|notices|cookies?|"
-    r"consent|gdpr|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|"
-    r"overlay|widget|toolbar|pagination|pager|copyright|disclaimer|legal)(?:$|[\s_-])",
+    r"sidebar|footer|breadcrumbs?|comments?|comment(?:list|form|area|box|section|thread)|disqus|replies|"
+    r"notice|notices|cookies?|consent|gdpr|share|sharing|social|newsletter|subscribe|signup|popup|modal|"
+    r"overlay|toolbar|pagination|pager)(?:$|[\s_-])",
+    re.I,
+)
+OUTER_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:side|header|masthead|related|recommended|login|widget|copyright|disclaimer|legal)"
+    r"(?:$|[\s_-])",
     re.I,
 )
 SINGLE = frozenset("form select button".split())  # never inside themselves
@@ -138,7 +158,9 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             closed = _closed(page) if closed is None else closed
             at = closed.get(m.start(), at)
         if m["drop"] or m["pair"]:
-            flush()
+            # scripts, buttons, pictures and the like lie within a line; forms don't
+            if m["pair"] and m["pair"].lower() == "form":
+                flush()
             continue
         if not m["tag"]:
             continue
@@ -158,6 +180,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             named = " ".join(a or b or c for a, b, c in _ATTR.findall(m["attrs"]))
             inside = any(s[1] for s in stack)
             furniture = tag in FURNITURE or (tag == "header" and not inside) or bool(NAMES.search(named))
+            furniture = furniture or (not inside and bool(OUTER_NAMES.search(named)))
             if tag in ("body", "html", "article", "main"):
                 furniture = False
             stack.append((tag, tag in ("article", "main"), furniture))

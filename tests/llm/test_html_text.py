@@ -49,3 +49,68 @@ def test_elements_without_a_closing_tag_lose_nothing_else():
     assert kept(f"<form>a</form><p>{prose}<object>b<object>c</object>d</object><svg><title/>e</svg>") == prose.split()
     assert kept(f"<form><p>{prose}<script>'</form>'") == prose.split()
     assert kept(f"<p>{prose}<script>no <p>end") == prose.split()
+
+
+def texts(spark, *pages):
+    rows = [(i, "u", p) for i, p in enumerate(pages)]
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+PROSE = "many words of an article that tells a story and goes on for quite a while before it ends"
+
+
+def test_parts_of_an_article_stay(spark):
+    article = f"<article><p>{PROSE}</p>{{}}<p>{PROSE}</p></article>"
+    for part in (
+        '<div class="legal">the law of the land says so</div>',
+        '<section class="related-work"><p>others have tried this before</p></section>',
+        '<p><a href="x">The whole report can be found here</a></p>',
+        '<div id="header"><b>A second part</b></div>',
+    ):
+        inner = re.sub("<[^>]*>", "", part)
+        assert texts(spark, article.format(part)) == [f"{PROSE}\n\n{inner}\n\n{PROSE}"], part
+    links = "".join(f"<li><a href=x{i}>another story</a></li>" for i in range(4))
+    assert texts(spark, article.format(f"<ul>{links}</ul>")) == [f"{PROSE}\n\n{PROSE}"]
+
+
+def test_furniture_and_reader_comments_go(spark):
+    page = f"<body>{{}}<article><p>{PROSE}</p></article>{{}}</body>"
+    comment = '<ol class="commentlist"><li><p>I have to say that I liked this story more than the last one</p></li></ol>'
+    for part in (
+        comment, '<div class="legal">All rights reserved by someone</div>',
+        '<div class="related"><p>Read also what happened to the other one last year</p></div>',
+    ):
+        assert texts(spark, page.format(part, ""), page.format("", part)) == [PROSE, PROSE], part
+    inside = f"<article><p>{PROSE}</p>{comment}</article>"
+    assert texts(spark, inside) == [PROSE]
+
+
+def test_elements_within_a_line_do_not_end_it(spark):
+    for element in (
+        "<svg><path/></svg>", "<script>x</script>", "<button>no</button>", "<object>no</object>",
+        "<select><option>no</select>", "<textarea>no</textarea>", "<!-- no -->", "<template>no</template>",
+    ):
+        got = texts(spark, f"<article><p>one {element} two {PROSE}</p><p>a{element}b {PROSE}</p></article>")
+        assert got == [f"one two {PROSE}\n\nab {PROSE}"], element
+
+
+def test_a_page_with_one_short_text(spark):
+    assert texts(spark, "<html><body>Short answer to you.</body></html>", "Yes", "<p>One <b>word</b></p>") == [
+        "Short answer to you.", "Yes", "One word",
+    ]
+
+
+def test_long_pages_and_clashing_columns(spark):
+    page = "<article>" + f"<p>{PROSE}</p>" * 20_000 + "</article>"
+    rows = [(1, page, "own", 7, "dot"), (2, None, "own", 7, "dot")]
+    frame = spark.createDataFrame(rows, "page_id long, html string, text string, _html int, `a.b` string")
+    got = {r["page_id"]: r for r in extract_text(frame).collect()}
+    assert got[1]["text"] == "\n\n".join([PROSE] * 20_000) and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] == "" and (got[2]["_html"], got[2]["a.b"]) == (7, "dot")
+
+
+def test_prose_outside_of_articles_beside_links(spark):
+    links = "<ul>" + "<li><a href=x>some link</a></li>" * 3 + "</ul>"
+    page = f"<body>{links}<div><p>{PROSE}</p><p>{PROSE} again</p></div>{links}</body>"
+    assert texts(spark, page) == [f"{PROSE}\n\n{PROSE} again"]
