@@ -100,6 +100,8 @@ def discover(
         run.take_statistics(all_columns=params.sample_rows is None)
     if staged and params.sample_rows is None:
         run.refute_pairs()
+    if params.sample_rows is not None and params.class_policy == "any":
+        run.sample_first()
     run.count_possible_keys(with_slots=staged)
     if params.sample_rows is not None:
         run.count_samples()
@@ -170,6 +172,7 @@ class _Run:
         self.estimates: dict[int, int] = {}
         self.statistics: DataFrame | None = None
         self.pairs: DataFrame | None = None
+        self.sample_counts: DataFrame | None = None
         self.in_pairs: set[int] | None = None
         self.tested_pairs: DataFrame | None = None
         self.columns_read: tuple[tuple[int, ...], ...] = ()
@@ -265,6 +268,14 @@ class _Run:
         ).first()
         self.in_pairs = {*alive["fks"], *alive["pks"]}
 
+    def sample_first(self) -> None:
+        """Counts the samples, which are tested later on; a repeat or a NULL in them rules keys out."""
+        refs = [c for c in self.eligible if self.may_refer(c)]
+        if refs:
+            self.sample_counts = self.counts_of_samples(refs)
+            shown = self.sample_counts.filter("v IS NULL OR cnt > 1").select("cid").distinct()
+            self.not_keys |= {row["cid"] for row in shown.collect()}
+
     # -- keys ----------------------------------------------------------------
 
     def count_possible_keys(self, with_slots: bool) -> None:
@@ -345,7 +356,10 @@ class _Run:
         if not refs or not self.pks:
             self.fks = []
             return
-        self.fk_counts = self.counts_of_samples(refs)
+        if self.sample_counts is None:
+            self.fk_counts = self.counts_of_samples(refs)
+        else:
+            self.fk_counts = self.sample_counts.filter(F.col("cid").isin([c.cid for c in refs]))
         self.fks = []
         for row in self.gated_profile(self.fk_counts):
             self.tested[row["cid"]] = row["row_count"]
