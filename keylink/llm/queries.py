@@ -76,6 +76,7 @@ def op7_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_email", "n_ip", "n_card", "n_phone",
         F.sha2(spans_text(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
