@@ -7,9 +7,12 @@ Equal windows have their anchor at the same place, so whatever repeats shares an
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keylink.functions.frames import fresh_name
+from keylink.sources.workspace import Workspace
+
 POSITION_BITS = 30
 LEAST_ID = -(1 << 63)
 
@@ -40,6 +43,36 @@ def coordinate(key: Column, position: Column) -> Column:
     return (doc * F.lit(1 << POSITION_BITS) + position).cast("decimal(38,0)")
 
 
+def one_text_each(docs: DataFrame, key: str, text: str, space: Workspace) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells texts apart, as positions need it.
+
+    That is ``key`` itself unless ids repeat. Then rows are numbered by id and hash of their text, so
+    that rows of one id with different texts are documents of their own, and equal rows are one.
+    """
+    own = F.col(f"`{key}`").cast("long")
+    if docs.groupBy(own.alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1").isEmpty():
+        return docs, key
+    number, id_, digest = (fresh_name(n, docs.columns) for n in ("_number", "_id", "_digest"))
+    told = docs.withColumns({id_: own, digest: F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
+    order = space.save(
+        told.select(F.col(id_).alias("_o"), F.col(digest).alias("_p")).distinct()
+        .orderBy(F.asc_nulls_first("_o"), "_p")
+        .withColumn("_q", F.monotonically_increasing_id()),
+        "numbers",
+    )
+    # the columns of docs keep their names, which may be those of the numbers' table
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    plain = told.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)],
+        F.col(id_).alias("_i"), F.col(digest).alias("_d"),
+    )
+    same = F.col("_i").eqNullSafe(F.col("_o")) & (F.col("_d") == F.col("_p"))
+    numbered = plain.join(order, same).select(
+        *[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)], F.col("_q").alias(number)
+    )
+    return space.save(numbered, "numbered"), number
+
+
 def union_length(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     """Which of size places lie in one of the spans."""
     depth = np.zeros(size + 1, dtype=np.int64)

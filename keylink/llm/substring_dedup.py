@@ -7,9 +7,10 @@ other, as often, and at the next coordinate; a join of the edges finds these, an
 compact to one span with its source coordinate. The joins of the paths' first edges back to their
 occurrences then give every repeated span with its source. Windows are known by 128 bits of hash.
 
-Defined results: null and wordless texts have no words and lose none; rows of one id are versions of
-one document, and of two windows at one id and start none is earlier; null ids come first; an empty
-table gives an empty table. Texts have up to 2^30 words.
+Defined results: null and wordless texts have no words and lose none; equal rows of one id are one
+document, so none of them is earlier; rows of one id with different texts are documents of their own,
+in an order by the hash of their texts; null ids come first; an empty table gives an empty table.
+Texts have up to 2^30 words.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keylink.llm import textarrays as ta
-from keylink.llm.anchors import coordinate, union_length, window_anchors
+from keylink.llm.anchors import coordinate, one_text_each, union_length, window_anchors
 from keylink.sources.workspace import Workspace
 
 WINDOW = 20
@@ -178,11 +179,12 @@ def drop_repeated_words(
 ) -> DataFrame:
     """Every row with n_words, n_removed, kept_sha256 and, with_text, the kept words as kept_text."""
     space = Workspace(docs.sparkSession)
+    out = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
+    own = [c for c in docs.columns if c not in out and c != text]
+    docs, key = one_text_each(docs, key, text, space)
     spans = repeated_spans(docs, key, text, space).groupBy("_doc").agg(
         F.collect_list(F.struct("_at", "_words")).alias("_spans")  # one document's
     )
-    out = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
-    own = [c for c in docs.columns if c not in out and c != text]
     plain = docs.select(
         *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)],
         F.col(f"`{key}`").cast("long").alias("_k"), F.col(f"`{text}`").alias("_text"),

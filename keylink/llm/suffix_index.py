@@ -13,8 +13,9 @@ the same range of bytes as an earlier one repeat whole; the first of each range
 by window within their bucket, or, for a beginning with over ``HOT`` different ranges, by a shuffle
 of their windows. Ranges and windows are known by 128 bits of hash.
 
-Defined results: null texts are empty; rows of one id are versions of one document, and of two
-strings at one id and start none is earlier; null ids come first; an empty table gives an empty
+Defined results: null texts are empty; equal rows of one id are one document, so none of
+them is earlier; rows of one id with different texts are documents of their own, in an order by the
+hash of their texts; null ids come first; an empty table gives an empty
 table. Texts have less than 2^30 bytes.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keylink.llm import textarrays as ta
-from keylink.llm.anchors import coordinate, union_length, window_anchors
+from keylink.llm.anchors import coordinate, one_text_each, union_length, window_anchors
 from keylink.sources.workspace import Workspace
 
 WINDOW = 100
@@ -332,11 +333,12 @@ def drop_repeated_bytes(
     """Every row with n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept_bytes (which may
     cut a character)."""
     space = Workspace(docs.sparkSession)
+    out = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_bytes"] * with_text
+    own = [c for c in docs.columns if c not in out and c != text]
+    docs, key = one_text_each(docs, key, text, space)
     spans = repeated_windows(docs, key, text, space).groupBy("_doc").agg(
         F.collect_list(F.struct("_from", "_n")).alias("_spans")  # one document's
     )
-    out = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_bytes"] * with_text
-    own = [c for c in docs.columns if c not in out and c != text]
     plain = docs.select(
         *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)],
         F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))).alias("_doc"),

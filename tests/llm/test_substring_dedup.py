@@ -39,6 +39,22 @@ def test_same_as_brute_force(spark, sample):
         check(edges.frame(spark, seed=seed))
 
 
+def test_rows_of_one_id_with_other_texts(spark):
+    """Spans of one row are never cut out of another one that only has the same id."""
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    half = " ".join(a.split(" ")[:30]) + " " + " ".join(f"c{i}" for i in range(9))
+    rows = [(i, t, None, None, 1, *edges.CLASH) for i, t in ((1, a), (5, a), (5, b), (5, b), (6, half), (None, None), (None, b))]
+    got = drop_repeated_words(edges.frame(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got) == [
+        (0, 0, 0), (0, 60, 0), (1, 60, 0), (5, 60, 60), (5, 60, 60), (5, 60, 60), (6, 39, 30),
+    ]
+    apart = [(i, t, None, None, 1, *edges.CLASH) for i, t in ((1, a), (5, a), (5, b))]
+    got = drop_repeated_words(edges.frame(spark, apart)).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in got) == [(1, 0, a), (5, 0, b), (5, 60, "")]
+    assert {(r["_row"], r["a.b"]) for r in got} == {edges.CLASH}
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(None, text, None, None, 1, *edges.CLASH), (3, text, None, None, 1, *edges.CLASH)] * 2

@@ -42,6 +42,18 @@ def test_awkward_texts(spark, monkeypatch, hot):
     check(edges.frame(spark, seed=4))
 
 
+def test_rows_of_one_id_with_other_texts(spark):
+    """Spans of one row are never cut out of another one that only has the same id."""
+    a = " ".join(f"first{i}" for i in range(40))
+    b = " ".join(f"other{i}" for i in range(40))
+    rows = [(i, t, None, None, 1, *edges.CLASH) for i, t in ((1, a), (5, a), (5, b))]
+    got = drop_repeated_bytes(edges.frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["kept_bytes"]) for r in got) == [
+        (1, 0, a.encode()), (5, 0, b.encode()), (5, len(a), b""),
+    ]
+    assert {(r["_row"], r["a.b"]) for r in got} == {edges.CLASH}
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(None, text, None, None, 1, *edges.CLASH), (3, text, None, None, 1, *edges.CLASH)] * 2
