@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from keylink import Params, Source
 from keylink.functions.frames import metadata_frame
 from keylink.operators.inclusion import matched_rows, orphan_rows
+from keylink.plans import discover
 
 BOTH = ["oneshot", "staged"]
 
@@ -29,6 +30,24 @@ def tables(spark):
     }
 
 
+@pytest.mark.parametrize(("few", "staged"), [(100, False), (4, True)])
+def test_many_cells_of_few_values_are_counted_at_once(spark, links, monkeypatch, few, staged):
+    rows = [(i % 5, i % 6 if i % 50 else 99) for i in range(60)]
+    tables = {
+        "pk": metadata_frame(spark, [(i,) for i in range(60)], "k int"),
+        "fk": metadata_frame(spark, rows, "f int, g int"),
+    }
+    params = Params.ungated(sup_out_foreign_key=0.05)
+    expected = links(tables, params, strategy="oneshot")
+    assert expected == {("fk.f", "pk.k"): 0.0, ("fk.g", "pk.k"): 2 / 60}
+    refuted, plain = [], discover._Run.refute_pairs
+    monkeypatch.setattr(discover._Run, "refute_pairs", lambda run: refuted.append(plain(run)))
+    monkeypatch.setattr(discover, "STAGED_FROM_CELLS", 1)
+    monkeypatch.setattr(discover, "FEW_VALUES", few)
+    assert links(tables, params) == expected
+    assert bool(refuted) == staged
+
+
 @pytest.mark.parametrize("strategy", BOTH)
 @pytest.mark.parametrize(
     ("sup", "base", "expected"),
