@@ -52,14 +52,19 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.places: dict[int, int] = {}
+        # Hashes in rising order with the place and number of their ids: arrays, as there are two
+        # workers and more beside an executor's heap, and objects would take ten times the memory.
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.size = np.zeros(0, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
-        self.begin: list[int] = []
-        self.size: list[int] = []
 
-    def _add(self, keys: list[int], words: list[bytes]) -> None:
+    def _add(self, keys: np.ndarray, at: np.ndarray, words: list[bytes]) -> None:
+        """Keeps the ids of words whose hashes, in rising order, go before the places ``at``."""
         encode = self.tokenizer.encode_batch_fast
+        sizes = []
+        first = self.used
         for lo in range(0, len(words), 10_000):
             part = [w.decode("utf-8", "replace") for w in words[lo : lo + 10_000]]
             lists = [e.ids for e in encode(part, add_special_tokens=False)]
@@ -67,31 +72,31 @@ class WordTokenizer:
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.used : self.used + len(flat)] = flat
-            for key, x in zip(keys[lo : lo + 10_000], lists, strict=True):
-                self.places[key] = len(self.begin)
-                self.begin.append(self.used)
-                self.size.append(len(x))
-                self.used += len(x)
+            self.used += len(flat)
+            sizes.append(np.fromiter(map(len, lists), dtype=np.int32, count=len(lists)))
+        size = np.concatenate(sizes)
+        self.keys = np.insert(self.keys, at, keys)
+        self.begin = np.insert(self.begin, at, first + np.cumsum(size, dtype=np.int64) - size)
+        self.size = np.insert(self.size, at, size)
 
     def encode(self, c: ta.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk in a row, and the number of each document's."""
         starts, ends, doc = _units(c)
         hashes = ta.window_hashes(ta._BYTES[ta.LOWER[c.data]], starts, ends)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.places) + len(distinct) > MEMORY_UNITS:
+        if len(self.keys) + len(distinct) > MEMORY_UNITS:
             self.clear()
-        known = distinct.tolist()
-        new = [i for i, h in enumerate(known) if h not in self.places]
-        if new:
+        place = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != distinct[inside]
+        if new.any():
             at = first[new]
             text = ta.LOWER[c.data].tobytes()
-            self._add(
-                [known[i] for i in new],
-                [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)],
-            )
-        place = np.fromiter(map(self.places.__getitem__, known), dtype=np.int64, count=len(known))
-        begin, size = np.array(self.begin, dtype=np.int64), np.array(self.size, dtype=np.int64)
-        size, begin = size[place][which], begin[place][which]
+            words = [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            self._add(distinct[new], place[new], words)
+            place += np.cumsum(new) - new
+        size, begin = self.size[place][which], self.begin[place][which]
         unit, at = ta.spread(size)
         counts = np.bincount(doc, size, c.hi - c.lo).astype(np.int64)
         return self.ids[begin[unit] + at], counts
@@ -158,6 +163,8 @@ def _tokenize(path: str, limit: int, end_id: int, with_ids: bool):
                     cols.append(ta.lists(flat.astype(np.int32), length, pa.int32()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        # The worker stays for later stages, which need the memory of these batches.
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -1,10 +1,17 @@
+import gc
+import random
 import struct
+import tracemalloc
 import zlib
 
 import edges
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from keylink.llm import packing
+from keylink.llm import textarrays as ta
 from keylink.llm.packing import pack, shortest_pack_first, slots
 from keylink.llm.queries import tokenizer_path
 
@@ -67,3 +74,34 @@ def test_repeated_rows_and_clashing_columns(spark):
     got = pack(edges.frame(spark, rows), tokenizer_path(), limit=8).collect()
     assert sum(r["doc_id"] == 1 for r in got) == 5 and len(got) == 6
     assert [r["length"] for r in got if r["doc_id"] is None] == [1]
+
+
+@pytest.mark.parametrize("kept", [40, packing.MEMORY_UNITS])
+def test_words_are_found_again_whatever_came_before(monkeypatch, kept):
+    monkeypatch.setattr(packing, "MEMORY_UNITS", kept)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh\u00e9", k=rng.randint(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 20))) for _ in range(80)]
+    tokenizer = packing.WordTokenizer(tokenizer_path())
+    got = []
+    for c in ta.chunks(pa.array(texts), 200):
+        ids, counts = tokenizer.encode(c)
+        got += [[*x.tolist(), 2] for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == reference_ids(texts)
+
+
+def test_kept_words_take_little_memory():
+    first, tokenizer = (packing.WordTokenizer(tokenizer_path()) for _ in range(2))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(str(1000 * i + j).translate(letters) for j in range(1000)) for i in range(100, 300)]
+    for one in (first, tokenizer):  # the first fills the caches of the module
+        if one is tokenizer:
+            tracemalloc.start()
+        for c in ta.chunks(pa.array(texts), 1 << 18):
+            one.encode(c)
+        del c
+    gc.collect()
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    held -= tokenizer.ids.nbytes
+    assert held < 40 * 200_000
