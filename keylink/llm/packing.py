@@ -13,6 +13,7 @@ column of the same name replaces.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ from keylink.sources.workspace import Workspace
 LIMIT = 4096
 END_ID = 2
 RANK_SALTS = 64
+# Texts are cut into units and hashed so many bytes at a time.
+CHUNK_BYTES = 1 << 19
 # The words of one Python worker that are kept with their ids; then it starts anew.
 MEMORY_UNITS = 1_000_000
 
@@ -46,6 +49,8 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        # A task has one core; the library's threads, one a core of the machine, hold memory each.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -137,7 +142,7 @@ def _tokenize(path: str, limit: int, end_id: int, with_ids: bool):
         tokenizer = _tokenizer(path)
         for batch in batches:
             own = batch.num_columns - 1
-            for c in ta.chunks(batch.column(own)):
+            for c in ta.chunks(batch.column(own), CHUNK_BYTES):
                 ids, counts = tokenizer.encode(c)
                 counts = counts + 1
                 docs = len(counts)

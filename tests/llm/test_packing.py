@@ -1,6 +1,9 @@
 import gc
+import os
 import random
 import struct
+import subprocess
+import sys
 import tracemalloc
 import zlib
 
@@ -105,3 +108,19 @@ def test_kept_words_take_little_memory():
     tracemalloc.stop()
     held -= tokenizer.ids.nbytes
     assert held < 40 * 200_000
+
+
+def test_a_worker_tokenizes_in_one_thread():
+    lines = [
+        "import os, pyarrow as pa",
+        "from keylink.llm import packing, textarrays as ta",
+        "from keylink.llm.queries import tokenizer_path",
+        "tokenizer = packing.WordTokenizer(tokenizer_path())",
+        "before = len(os.listdir('/proc/self/task'))",
+        "texts = pa.array([' '.join(f'w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x' * (i % 9) for i in range(5000))])",
+        "[tokenizer.encode(c) for c in ta.chunks(texts)]",
+        "assert len(os.listdir('/proc/self/task')) == before",
+    ]
+    plain = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    env = {**plain, "PYTHONPATH": os.pathsep.join(sys.path)}
+    subprocess.run([sys.executable, "-c", "\n".join(lines)], check=True, env=env)
