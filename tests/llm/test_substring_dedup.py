@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
 
 import edges
 from keylink.llm.substring_dedup import drop_repeated_words
+from keylink.sources.workspace import Workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,3 +63,33 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     got = drop_repeated_words(edges.frame(spark, rows)).collect()
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 0), (0, 0), (3, 30), (3, 30)]
     assert drop_repeated_words(edges.empty(spark)).collect() == []
+
+
+def test_runs_that_overlap_in_part(spark):
+    """Passages are cut and joined anywhere, so that runs share some of their windows."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)] + ["x"] * 40 + [f"b{i}" for i in range(60, 120)]
+    rows = []
+    for i in range(40):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            lo = rng.randrange(len(base) - 15)
+            words += base[lo : lo + rng.randrange(15, 70)] + [f"o{i}"] * rng.randrange(2)
+        rows.append((i, " ".join(words), None, None, 1, *edges.CLASH))
+    check(edges.frame(spark, rows))
+
+
+def test_copies_make_no_row_per_window(spark, monkeypatch):
+    made, save = {}, Workspace.save
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(i, text, None, None, 1, *edges.CLASH) for i in range(10)]
+
+    def counting(self, frame, name):
+        saved = save(self, frame, name)
+        made[name] = saved.count()
+        return saved
+
+    monkeypatch.setattr(Workspace, "save", counting)
+    got = drop_repeated_words(edges.frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(i, 400 * (i > 0)) for i in range(10)]
+    assert sum(made.values()) < 10 * 381  # windows of all documents

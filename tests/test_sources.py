@@ -9,7 +9,8 @@ from keylink.params import resolve_params
 from keylink.sources import catalog
 from keylink.sources.jdbc import DIALECTS, Connection, dialect_of, policies, split_options
 from keylink.sources.store import ResultStore
-from keylink.sources.workspace import Workspace, shared_folder
+from keylink.sources.workspace import CLEANUP, Workspace, shared_folder
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 CONFIG = (
@@ -180,3 +181,21 @@ def test_partitioned_folder_plain_folder_and_file_are_three_tables(spark, tmp_pa
     part = next((tmp_path / "other").glob("part-*.parquet"))
     (tmp_path / "single.parquet").write_bytes(part.read_bytes())
     assert catalog.list_file_tables(spark, str(tmp_path)) == ["orders", "plain", "single"]
+
+
+def test_shuffles_of_a_scratch_table_go_when_it_is_written(spark, monkeypatch):
+    """Only while tables are written: a result of the user's own may be asked for twice."""
+    seen, write, before = [], DataFrameWriter.parquet, spark.conf.get(CLEANUP, None)
+
+    def parquet(self, path):
+        seen.append(spark.conf.get(CLEANUP, None))
+        if len(seen) == 1:
+            space.save(spark.range(3), "inner")
+            seen.append(spark.conf.get(CLEANUP, None))
+        write(self, path)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    space = Workspace(spark)
+    assert space.save(spark.range(9).groupBy((F.col("id") % 2).alias("k")).count(), "outer").count() == 2
+    assert seen == ["true"] * 3
+    assert spark.conf.get(CLEANUP, None) == before
