@@ -166,12 +166,15 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Full sets of the texts in the first column whose names the second one lists."""
     for batch in batches:
         for c in ta.chunks(batch.column(0)):
             values, counts = _sets(c)
-            yield pa.RecordBatch.from_arrays(
-                [_keys(values, counts), ta.lists(values, counts, pa.int64())], ["_set", "_all"]
-            )
+            names = _keys(values, counts)
+            asked = batch.column(1)[c.lo : c.hi].to_pylist()
+            wanted = pa.array([n in a for n, a in zip(names.to_pylist(), asked, strict=True)], pa.bool_())
+            full = pa.RecordBatch.from_arrays([names, ta.lists(values, counts, pa.int64())], ["_set", "_all"])
+            yield full.filter(wanted)
 
 
 def _large(level: int) -> Column:
@@ -277,27 +280,30 @@ def _label(sets: DataFrame, full, space: Workspace, percent: int) -> DataFrame |
         F.col("_b0").alias("b0"), F.col("_b1").alias("b1"), F.col("_tokens").alias("t"),
         F.col("_odd").alias("odd"),
     )
-    active, labels, turn, deep = member, None, 0, []
+    active, labels, fetched, turn, deep = member, None, None, 0, []
     while True:
         first = active.select(
             "s", F.posexplode(F.slice("t", 1, TREES)).alias("tree", "x")
         ).select(F.xxhash64("tree", "x").alias("node"), "s")
         shared = first.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
         nodes, level = space.save(first.join(shared, "node"), "nodes"), 0
-        if turn == 0:
-            full = full(nodes.select("s").distinct())
         while True:
             # odd sketches are for the few pairs below the root, tokens for branching alone
             kinds = active.drop("t", "odd") if level == 0 else active.drop("t")
             rows = nodes.join(_labelled(kinds, labels), "s")
             stats = space.save(_stats(rows), "stats")
-            links = space.save(_confirmed(_candidates(rows, stats, level, percent), full, percent), "links")
+            pairs = space.save(_candidates(rows, stats, level, percent), "pairs")
+            if fetched is None:
+                # full sets of what may link here, and of what may be compared further down
+                sets = nodes.join(stats.filter(_large(level)).select("node"), "node").select("s")
+                fetched = full(sets.union(pairs.select("a")).union(pairs.select("b")).distinct())
+            links = space.save(_confirmed(pairs, fetched, percent), "links")
             labels = _merge(labels, links, space)
             # what pivots have left of the large nodes
             large = nodes.join(stats.filter(_large(level)).select("node"), "node")
             known = _labelled(active.select("s"), labels)
             left = space.save(_stats(large.join(known, "s")).select("node", "rest"), "left")
-            space.drop(stats, links)
+            space.drop(stats, pairs, links)
             if left.isEmpty():
                 space.drop(nodes, left)
                 break
@@ -316,9 +322,9 @@ def _label(sets: DataFrame, full, space: Workspace, percent: int) -> DataFrame |
             space.drop(active)
         again = [table for times, table in deep if times > turn and not table.isEmpty()]
         if not again:
-            space.drop(full, *[table for _, table in deep])
+            space.drop(fetched, *[table for _, table in deep])
             return labels
-        active = _renewed(member, reduce(DataFrame.union, again).distinct(), full, turn, space)
+        active = _renewed(member, reduce(DataFrame.union, again).distinct(), fetched, turn, space)
 
 
 def _renewed(member: DataFrame, names: DataFrame, full: DataFrame, turn: int, space: Workspace) -> DataFrame:
@@ -384,14 +390,14 @@ def near_duplicates(
     )
 
     def full(active: DataFrame) -> DataFrame:
-        ids = linked.join(active.withColumnRenamed("s", "_set"), "_set", "left_semi")
-        ids = ids.groupBy("_set").agg(F.min("_key").alias("_key")).select("_key").distinct()
+        ids = linked.select("_set", "_key").join(active.withColumnRenamed("s", "_set"), "_set", "left_semi")
+        ids = ids.groupBy("_set").agg(F.min("_key").alias("_id"))
+        ids = ids.groupBy("_id").agg(F.collect_list("_set").alias("_sets"))  # of the texts of one id
         texts = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
-        texts = texts.join(ids, "_key", "left_semi").select("_text")
+        # each set comes from one id, and repeated rows meet where their id is
+        texts = texts.join(ids, F.col("_key") == F.col("_id")).dropDuplicates(["_key", "_text", "_sets"])
         return space.save(
-            texts.mapInArrow(_full_sets, "_set binary, _all array<long>")
-            .filter("_set is not null").dropDuplicates(["_set"]),
-            "full",
+            texts.select("_text", "_sets").mapInArrow(_full_sets, "_set binary, _all array<long>"), "full"
         )
 
     labels = _label(sets, full, space, percent)

@@ -151,3 +151,24 @@ def test_template_family_larger_than_a_leaf(spark, monkeypatch):
     frame = edges.frame(spark, [(i, t, "en", "s", 0, *edges.CLASH) for i, t in rows])
     check(frame, rows)
     assert turns and turns[0] == 1
+
+
+def test_full_sets_of_candidates_only(spark, monkeypatch):
+    """Texts that share a passage meet in nodes, but their sets are fetched only where they may be near."""
+    made, save = {}, Workspace.save
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(i, f"{passage} " + " ".join(f"o{i}x{j}" for j in range(60)), None, None, 1, *edges.CLASH) for i in range(25)]
+    rows += [(i + 100, f"{rows[i][1]} more", *rows[i][2:]) for i in range(3)]
+    rows += [(5, rows[0][1], *rows[0][2:]), *[(200, rows[i][1], *rows[i][2:]) for i in (0, 0, 9)]]
+
+    def counting(self, frame, name):
+        saved = save(self, frame, name)
+        made.setdefault(name, []).append(saved.count())
+        return saved
+
+    monkeypatch.setattr(Workspace, "save", counting)
+    got = near_duplicates(edges.frame(spark, rows)).collect()
+    linked = {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] not in (5, 200)}
+    assert linked == {**{i: i for i in range(25) if i != 5}, **{i + 100: i for i in range(3)}}
+    assert len(got) == len(rows)
+    assert sum(made["full"]) == 6 and made["nodes"][0] > 25
