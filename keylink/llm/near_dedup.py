@@ -35,7 +35,7 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keylink.llm import textarrays as ta
@@ -375,17 +375,23 @@ def near_duplicates(
     space = space or Workspace(docs.sparkSession)
     out = ("n_shingles", "component_id", "kept")
     own = [c for c in docs.columns if c not in out and (with_text or c != text)]
-    plain = docs.select(
+    rows = docs.select(
         *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)],
         F.col(f"`{key}`").alias("_key"),
         F.monotonically_increasing_id().alias("_row"),
         F.col(f"`{text}`").alias("_text"),
     )
+    columns = [f"_c{i}" for i in range(len(own))]
+    # texts stay where they are: what is found of a row is a matter of its id and text
+    plain = rows.drop(*columns) if with_text else rows
+    if with_text:
+        plain = plain.select("_key", "_row", _name().alias("_name"), "_text")
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
     spec += ", n_shingles long, _set binary, _tokens array<int>, _b0 long, _b1 long, _odd array<long>"
-    measured = space.save(plain.mapInArrow(_measure, spec), "measured")
+    scratch = Workspace(docs.sparkSession, space.root) if with_text else space
+    measured = scratch.save(plain.mapInArrow(_measure, spec), "measured")
     linked = measured.filter("_set is not null and _key is not null")
-    sets = space.save(
+    sets = scratch.save(
         linked.select("_set", "n_shingles", "_tokens", "_b0", "_b1", "_odd").dropDuplicates(["_set"]), "sets"
     )
 
@@ -396,12 +402,12 @@ def near_duplicates(
         texts = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
         # each set comes from one id, and repeated rows meet where their id is
         texts = texts.join(ids, F.col("_key") == F.col("_id")).dropDuplicates(["_key", "_text", "_sets"])
-        return space.save(
+        return scratch.save(
             texts.select("_text", "_sets").mapInArrow(_full_sets, "_set binary, _all array<long>"), "full"
         )
 
-    labels = _label(sets, full, space, percent)
-    space.drop(sets)
+    labels = _label(sets, full, scratch, percent)
+    scratch.drop(sets)
     # classes with the least id of each, then of each component
     classes = linked.groupBy("_set").agg(F.min("_key").alias("_least"))
     named = classes.join(labels.withColumnsRenamed({"s": "_s", "c": "_c"}), F.expr("_set = _s"), "left")
@@ -424,4 +430,23 @@ def near_duplicates(
         judged = judged.join(first, F.col("_key") == F.col("_k"), "left").withColumn(
             "kept", F.col("kept") & (F.col("_key").isNull() | (F.col("_row") == F.col("_first")))
         )
+    if with_text:
+        found = space.save(
+            judged.groupBy("_name").agg(
+                F.first("n_shingles").alias("n_shingles"), F.first("component_id").alias("component_id"),
+                F.max("kept").alias("kept"),
+            ).withColumnRenamed("_name", "_found"),
+            "found",
+        )
+        scratch.clear()
+        rows = rows.select(*columns, "_key", "_row", _name().alias("_name"))
+        judged = rows.join(found, F.col("_name") == F.col("_found"), "left")
+        if one_row:  # the least of repeated rows, as above
+            least = F.min("_row").over(Window.partitionBy("_name"))
+            judged = judged.withColumn("kept", F.col("kept") & (F.col("_key").isNull() | (F.col("_row") == least)))
     return judged.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(own)], *out)
+
+
+def _name() -> Column:
+    """A row's id and the SHA-256 of its text; nulls are equal in it."""
+    return F.struct("_key", F.unhex(F.sha2("_text", 256)).alias("hash"))

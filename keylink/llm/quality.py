@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keylink.llm import textarrays as ta
@@ -214,7 +214,7 @@ def quality(
     """Every row with its counts, ``base_failed``, ``kept`` and, with_text, ``clean_text``.
 
     clean_text is the text without the lines above the limits. Without with_text the text is
-    measured in one pass and never shuffled.
+    measured in one pass and never shuffled; with it, it is shuffled once, as the result is read.
     """
     out = (*_COUNTS, "n_left", "base_failed", "kept", "clean_text")
     own = [c for c in docs.columns if c != text and c not in out]
@@ -222,15 +222,19 @@ def quality(
         own.append(text)
     space = space or Workspace(docs.sparkSession)
     # the columns travel under numbers, so that no name of theirs can clash with a name used here
-    plain = docs.select(
+    rows = docs.select(
         *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(own)],
         F.col(f"`{host}`").cast("string").alias("_host"),
         F.monotonically_increasing_id().alias("_row"),
         F.col(f"`{text}`").alias("_text"),
     )
+    columns = [f"_c{i}" for i in range(len(own))]
+    # texts stay where they are: what is found of a row is a matter of its host and text
+    plain = rows.select("_host", "_row", _name().alias("_name"), "_text") if with_text else rows
+    scratch = Workspace(docs.sparkSession, space.root) if with_text else space
     ahead = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
-    measured = space.save(plain.mapInArrow(_measure_batches, f"{ahead}, {_SCHEMA}"), "measured")
-    often = _frequent(measured, rules, space)
+    measured = scratch.save(plain.mapInArrow(_measure_batches, f"{ahead}, {_SCHEMA}"), "measured")
+    often = _frequent(measured, rules, scratch)
     pairs = measured.select(
         "_row", "_host", F.explode(F.arrays_zip("_lines", "_line_words")).alias("_l")
     ).select("_row", "_host", F.col("_l._lines").alias("_line"), F.col("_l._line_words").alias("_w"))
@@ -256,17 +260,24 @@ def quality(
     )
     shown = [*_COUNTS, "n_left", "base_failed", "kept"]
     if with_text:
-        at = f"_c{len(own) - 1}"
-        plain_names = [f"_c{i}" for i in range(len(own))]
-        fields = judged.select(*plain_names, *shown).schema
-        spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-        judged = judged.select(*plain_names, *shown, "_bad", F.col(at).alias("_text")).mapInArrow(
-            _drop_lines, f"{spec}, clean_text string"
+        found = judged.select(F.col("_name").alias("_found"), *shown, "_bad").dropDuplicates(["_found"])
+        found = space.save(found, "found")
+        scratch.clear()
+        judged = rows.select(*columns, _name().alias("_name"), "_text").join(
+            found, F.col("_name") == F.col("_found"), "left"
         )
+        fields = judged.select(*columns, *shown).schema
+        spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        judged = judged.select(*columns, *shown, "_bad", "_text").mapInArrow(_drop_lines, f"{spec}, clean_text string")
         shown.append("clean_text")
     return judged.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(own)], *shown)
 
 
+def _name() -> Column:
+    """A row's host and the SHA-256 of its text; nulls are equal in it."""
+    return F.struct("_host", F.unhex(F.sha2("_text", 256)).alias("hash"))
+
+
 def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bad, texts = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)

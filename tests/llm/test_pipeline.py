@@ -1,6 +1,7 @@
 import random
 
 import edges
+from keylink.sources.workspace import Workspace
 from pyspark.sql import functions as F
 
 
@@ -47,3 +48,26 @@ def test_near_dedup_links_pairs_from_80_percent(spark):
     docs = edges.frame(spark, [(i, t, "en", "s", len(t), *edges.CLASH) for i, t in rows]).select(*p.COLUMNS)
     got = dict(p.STAGES)["near_dedup"](spark, docs, "")
     assert {r["doc_id"] for r in got.collect()} == expected
+
+
+def test_first_stages_leave_no_texts_in_scratch_tables(spark, tmp_path, monkeypatch):
+    """Repeated rows, null ids and null hosts among them; no table that a stage writes has a text in it."""
+    import corpus_pipeline as p
+
+    rng, saved, save = random.Random(4), [], Workspace.save
+    texts = [edges.words(rng, 80) for _ in range(6)]
+    rows = [(i % 5, texts[i % 6], "en", None if i % 4 == 0 else "s", i, *edges.CLASH) for i in range(24)]
+    rows += [(None, texts[0], "en", "s", i, *edges.CLASH) for i in range(2)] + [(50, None, "en", None, 0, *edges.CLASH)]
+    docs = edges.frame(spark, rows).select(*p.COLUMNS)
+
+    def recording(self, frame, name):
+        saved.append((name, [c for c, kind in frame.dtypes if kind == "string"]))
+        return save(self, frame, name)
+
+    monkeypatch.setattr(Workspace, "save", recording)
+    kept = p.quality_rules(spark, docs, "")
+    assert kept.count() == 26
+    out = p.near_dedup(spark, kept, "").collect()
+    assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == [0, 1]
+    assert sum(r["doc_id"] is None for r in out) == 2
+    assert {c for _, names in saved for c in names} <= {"_host"}
