@@ -2,7 +2,8 @@
 
 A document's set are its distinct five-word shingles; equal sets are one class from the start. Each
 class has minwise tokens at ``POSITIONS`` positions. ``TREES`` independent trees split the classes
-by the token at a chosen position. A node is compared exhaustively once all but ``LEAF`` of its
+by the tokens at ``ROOT`` positions of its own: by one alone, all texts that share a passage would
+meet there. A node is compared exhaustively once all but ``LEAF`` of its
 classes belong to one component: those few against all. Any other node compares its members with
 ``PIVOTS`` pivots first. Nodes that then lie in one component are done, which is what ends large
 groups of near copies in linear work; those with few others left are compared exhaustively. Only
@@ -13,12 +14,12 @@ minwise token, below the root by an odd sketch as well, then confirmed on the fu
 sketch has the parity of the shingles that hash to each bit; two of them differ in as many bits as
 the sets differ in shingles at most, so it never drops a link.
 
-A pair at 85 % is missed by the root's split of all 12 trees with a chance of 0.15^12 = 1e-10. Each step
-that its nodes branch adds to that: paths choose among ``POSITIONS`` tokens, and averaged over how many of
-these a pair shares, 12 trees miss it with 2e-4 after one step, 3e-3 after two, 1e-2 after three, 5e-2
-after five and 0.17 after ten. Hence all sets of nodes that went so deep go through 12 more trees, with
+A pair at 85 % is missed by the root's split of all 18 trees with a chance of (1 - 0.85^2)^18 = 1e-10. Each
+step that its nodes branch adds to that: paths choose among ``POSITIONS`` tokens, and averaged over how many
+of these a pair shares, 18 trees miss it with 1.5e-4 after one step, 2e-3 after two, 1e-2 after three, 4e-2
+after five and 0.15 after ten. Hence all sets of nodes that went so deep go through 18 more trees, with
 minwise tokens of their own, as often as it takes for a chance of ``MISS`` (2e-4): twice from two steps on,
-three times from five, five times at ten. ``_missed`` has the chance by depth; at 80 % it is 3e-4 after
+three times from five, five times at ten. ``_missed`` has the chance by depth; at 80 % it is 4e-4 after
 one step, so that sets go twice from there on. The bit screen drops a pair with up to 1e-8.
 
 Defined results: null, empty or wordless texts have no shingles and link with nothing; a row with a
@@ -44,7 +45,9 @@ from keylink.sources.workspace import Workspace
 
 WORDS = 5
 PERCENT = 85
-TREES = 12
+TREES = 18
+# Tokens that sets have in common in a root node. Trees times this is POSITIONS at most.
+ROOT = 2
 POSITIONS = 64
 # Small at the root; below it pivots have joined most of a large node, and few pairs are left to see.
 LEAF = (32, 256)
@@ -105,7 +108,7 @@ def _missed(percent: int, depth: int) -> float:
         for _ in range(depth):
             found = 1 - (1 - r**STEP * found) ** _children(percent)
         chance = comb(POSITIONS, shared) * p**shared * (1 - p) ** (POSITIONS - shared)
-        total += chance * (1 - r * found) ** TREES
+        total += chance * (1 - r**ROOT * found) ** TREES
     return total
 
 
@@ -282,9 +285,8 @@ def _label(sets: DataFrame, full, space: Workspace, percent: int) -> DataFrame |
     )
     active, labels, fetched, turn, deep = member, None, None, 0, []
     while True:
-        first = active.select(
-            "s", F.posexplode(F.slice("t", 1, TREES)).alias("tree", "x")
-        ).select(F.xxhash64("tree", "x").alias("node"), "s")
+        roots = [F.xxhash64(F.lit(i), F.slice("t", ROOT * i + 1, ROOT)) for i in range(TREES)]
+        first = active.select(F.explode(F.array(*roots)).alias("node"), "s")
         shared = first.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
         nodes, level = space.save(first.join(shared, "node"), "nodes"), 0
         while True:

@@ -172,3 +172,23 @@ def test_full_sets_of_candidates_only(spark, monkeypatch):
     assert linked == {**{i: i for i in range(25) if i != 5}, **{i + 100: i for i in range(3)}}
     assert len(got) == len(rows)
     assert sum(made["full"]) == 6 and made["nodes"][0] > 25
+
+
+def test_texts_that_share_a_passage_alone_do_not_branch(spark, monkeypatch):
+    """A fifth of each set is common to all; by one token, 285 members of root nodes had to branch."""
+    monkeypatch.setattr(near_dedup, "LEAF", (8, 32))
+    members, branch = [], near_dedup._branch
+
+    def counting(rows, open_, percent):
+        members.append(rows.join(open_.select("node"), "node").count())
+        return branch(rows, open_, percent)
+
+    monkeypatch.setattr(near_dedup, "_branch", counting)
+    rng = random.Random(12)
+    passage = edges.words(rng, 20, 10**6)
+    texts = [f"{passage} {edges.words(rng, 60, 10**6)}" for _ in range(120)]
+    texts += [f"{text} {edges.words(rng, 2, 10**6)}" for text in texts[:4]]
+    rows = list(enumerate(texts))
+    frame = edges.frame(spark, [(i, t, "en", "s", 0, *edges.CLASH) for i, t in rows])
+    check(frame, rows)
+    assert sum(members) == 0
